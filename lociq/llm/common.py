@@ -98,3 +98,30 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.concatenate([[0], np.cumsum(lengths + 1)])
     raw = "\0".join(texts).encode("utf-32-le", "surrogatepass") + b"\0\0\0\0" * bool(texts)
     return np.frombuffer(raw, dtype=np.uint32), starts
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """key long, doc_id, text: the key orders documents. It is the doc_id where that is unique and never null; otherwise rows are numbered in order of
+    (doc_id with nulls last, text, other columns do not count), so that repeated rows are documents of their own."""
+    t = docs.select("doc_id", "text")
+    n, ids = t.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
+    if n == ids:
+        return t.select(F.col("doc_id").cast("long").alias("key"), "doc_id", "text")
+    return Scratch(docs.sparkSession).keep(t.orderBy(F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last()).select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "keyed")
+
+
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def buckets(spark: SparkSession, amount: int, each: int) -> int:
+    """Parts into which packed rows are dealt: one for each `each` of `amount`, the shuffle's partitions at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-amount // each))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()

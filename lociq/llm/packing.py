@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,7 @@ class WordTokenizer:
 
     WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
     SIMPLE = regex.compile(r"[!-\xa0\xa1-įı-ɏ]+")
-    MOST_CHUNKS, MOST_WORDS = 150_000, 600_000
+    MOST_CHUNKS, MOST_WORDS = 300_000, 800_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -95,6 +96,12 @@ class WordTokenizer:
         return b"".join(out)
 
 
+@lru_cache(maxsize=2)
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One tokenizer, and its caches, for all tasks of a worker process."""
+    return WordTokenizer(path)
+
+
 class Windows:
     """The open windows of one partition; rows come out as windows are emitted."""
 
@@ -158,7 +165,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, open_windows: in
 
     def draft(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encode, windows, emitted = WordTokenizer(tokenizer), Windows(window, open_windows), 0
+        encode, windows, emitted = tokenizer_of(tokenizer), Windows(window, open_windows), 0
         for b in slices(batches, most=2_000_000):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 windows.add(doc, encode(text or "") + tail)

@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffixes
+
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,6 +44,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffixes": op2_suffixes,
     "op5_packing": op5_packing,
     "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
