@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import U64, code_points, fold, fold_of, mix, seeds, slices
 
-SAMPLE_ROWS = 1_500  # labelled rows of each class for the models, and as many for the curve
-SAMPLE_CHARS = 12_000_000  # code points of a class's sample, to the end of the row that reaches them
+SAMPLE_ROWS = 600  # labelled rows of each class for the models, and as many for the curve
+SAMPLE_CHARS = 1_200_000  # code points of a class's sample, to the end of the row that reaches them
 LONG = 8_000  # longer rows are sampled only where no others are left
 ORDER = 6  # letters of an n-gram
 DISCOUNT = 0.75
@@ -47,28 +47,28 @@ def letters() -> np.ndarray:
 class Grams:
     """n-gram keys of all letters of some texts, a word's end counted as one more letter."""
 
-    def __init__(self, lut: np.ndarray, texts: list[str], longest_only: bool = False) -> None:
+    def __init__(self, lut: np.ndarray, texts: list[str]) -> None:
         points, self.starts = code_points(texts)
         x = lut[points]
         before = np.concatenate([[0], x[:-1]])
         self.at = np.flatnonzero((x != 0) | (before != 0))
         first = (x != 0) & (before == 0)
         begin = np.maximum.accumulate(np.where(first, np.arange(len(x)), 0))
-        depth = (np.arange(len(x)) - begin)[self.at]  # letters of the word before this one
+        self.depth = (np.arange(len(x)) - begin)[self.at]  # letters of the word before this one
         self.word = np.cumsum(first)[self.at] - 1
         self.words = int(first.sum())
         self.word_at = np.flatnonzero(first)
-        h = x[self.at].astype(np.uint64) * CONSTANTS[0] + U64(1)
-        self.keys, self.contexts = [mix(h)], [np.zeros(len(self.at), dtype=np.uint64)]
+        self.x = x.astype(np.uint64)
+
+    def order(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of each letter with the k letters before it, and of these k alone."""
+        h = self.x[self.at] * CONSTANTS[0] + U64(1)
         c = np.zeros(len(self.at), dtype=np.uint64)
-        x = x.astype(np.uint64)
-        for k in range(1, ORDER):
-            back = x[np.maximum(self.at - k, 0)]
-            back[depth < k] = 1  # before the word
-            c = c + back * CONSTANTS[k]
-            if not longest_only or k == ORDER - 1:
-                self.contexts.append(mix(c + U64(k)))
-                self.keys.append(mix(h + c + U64(k)))
+        for j in range(1, k + 1):
+            back = self.x[np.maximum(self.at - j, 0)]
+            back[self.depth < j] = 1  # before the word
+            c += back * CONSTANTS[j]
+        return mix(h + c + U64(k)), mix(c + U64(k))
 
 
 class Table:
@@ -115,30 +115,30 @@ class Model:
         self.lut = letters()
         self.curve = None
         grams = [Grams(self.lut, x) for x in (ordinary, toxic)]
+        both = lambda k: [np.concatenate(x) for x in zip(*(g.order(k) for g in grams))]
         # shared lower orders: continuation counts (different letters seen before), interpolated from the shortest up
-        both_keys = [np.concatenate([g.keys[k] for g in grams]) for k in range(ORDER)]
-        both_ctx = [np.concatenate([g.contexts[k] for g in grams]) for k in range(ORDER)]
         shared = None
         for k in range(ORDER - 1):
-            upper, at = np.unique(both_keys[k + 1], return_index=True)  # each longer n-gram once
-            low, ctx = both_keys[k][at], both_ctx[k][at]
+            at = np.unique(both(k + 1)[0], return_index=True)[1]  # each longer n-gram once
+            low, ctx = (v[at] for v in both(k))
             u, first, inverse = np.unique(low, return_index=True, return_inverse=True)
             count = np.bincount(inverse)
             c, c_inverse = np.unique(ctx[first], return_inverse=True)
             total, kinds = np.bincount(c_inverse, weights=count), np.bincount(c_inverse)
-            below = np.full(len(u), 1.0 / max(2, len(u))) if shared is None else shared.get(both_keys[k - 1][at][first])[0].astype(float)
+            below = np.full(len(u), 1.0 / max(2, len(u))) if shared is None else shared.get(both(k - 1)[0][at][first])[0].astype(float)
             p = np.maximum(count - DISCOUNT, 0) / total[c_inverse] + DISCOUNT * kinds[c_inverse] / total[c_inverse] * below
             shared = Table(u, p)
         # the highest order by class, over the n-grams and contexts that either class has shown
         n = ORDER - 1
-        keys, at = np.unique(both_keys[n], return_index=True)
-        ctx = both_ctx[n][at]
-        low = shared.get(both_keys[n - 1][at])[0].astype(float)
+        keys, ctx = both(n)
+        keys, at = np.unique(keys, return_index=True)
+        ctx = ctx[at]
+        low = shared.get(both(n - 1)[0][at])[0].astype(float)
         contexts = np.unique(ctx)
         where = np.searchsorted(contexts, ctx)
         ps, lambdas = [], []
         for g in grams:
-            u, count = _sum(g.keys[n])
+            u, count = _sum(g.order(n)[0])
             own = np.zeros(len(keys))
             own[np.searchsorted(keys, u)] = count
             total = np.bincount(where, weights=own, minlength=len(contexts))
@@ -151,10 +151,11 @@ class Model:
 
     def evidence(self, texts: list[str]) -> np.ndarray:
         """Per text: mean log-ratio of a word, the same over its expressions, their number and the strongest."""
-        g = Grams(self.lut, texts, longest_only=True)
-        value, found = self.seen.get(g.keys[-1])
+        g = Grams(self.lut, texts)
+        keys, contexts = g.order(ORDER - 1)
+        value, found = self.seen.get(keys)
         rest = np.flatnonzero(~found)
-        value[rest] = self.unseen.get(g.contexts[-1][rest])[0]
+        value[rest] = self.unseen.get(contexts[rest])[0]
         words = np.bincount(g.word, weights=value, minlength=g.words) if g.words else np.zeros(0)
         owner = np.searchsorted(g.starts, g.word_at, side="right") - 1
         n = len(texts)
@@ -166,7 +167,7 @@ class Model:
         return np.stack([np.bincount(owner, weights=words, minlength=n) / count, strong / np.sqrt(count), np.log1p(np.bincount(owner[out], minlength=n)), np.minimum(top, 20) / 10, strong / count], axis=1)
 
     def fit_curve(self, texts: list[str], toxic: np.ndarray) -> None:
-        x = np.concatenate([self.evidence(texts[i : i + 300]) for i in range(0, len(texts), 300)])
+        x = np.concatenate([self.evidence(texts[i : i + 100]) for i in range(0, len(texts), 100)])
         self.mean, self.std = x.mean(axis=0), x.std(axis=0) + 1e-9
         x = np.concatenate([(x - self.mean) / self.std, np.ones((len(x), 1))], axis=1)
         w = np.zeros(x.shape[1])
