@@ -125,3 +125,8 @@ def release(spark: SparkSession) -> None:
 
     gc.collect()
     spark._jvm.System.gc()
+
+
+def surrogate(source: DataFrame) -> bool:
+    """Whether keyed() had to number the rows."""
+    return hasattr(source, "_lociq_path")
