@@ -100,14 +100,14 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, dtype=np.uint32), starts
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """key long, doc_id, text: the key orders documents. It is the doc_id where that is unique and never null; otherwise rows are numbered in order of
+def keyed(docs: DataFrame, *keep: str) -> DataFrame:
+    """key long, doc_id, text and the columns in `keep` (renamed keep_0, ...): the key orders documents. It is the doc_id where that is unique and never null; otherwise rows are numbered in order of
     (doc_id with nulls last, text, other columns do not count), so that repeated rows are documents of their own."""
-    t = docs.select("doc_id", "text")
+    t = docs.select("doc_id", "text", *(docs[c].alias(f"keep_{i}") for i, c in enumerate(keep)))
     n, ids = t.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
     if n == ids:
-        return t.select(F.col("doc_id").cast("long").alias("key"), "doc_id", "text")
-    return Scratch(docs.sparkSession).keep(t.orderBy(F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last()).select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "keyed")
+        return t.select(F.col("doc_id").cast("long").alias("key"), "*")
+    return Scratch(docs.sparkSession).keep(t.orderBy(F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last()).select(F.monotonically_increasing_id().alias("key"), "*"), "keyed")
 
 
 def text_bytes(docs: DataFrame) -> int:

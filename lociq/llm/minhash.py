@@ -286,3 +286,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
         named = named.withColumn("doc_id", F.col("key")).withColumn("component_id", F.col("component"))
     return named.select("doc_id", "n_shingles", "component_id", (F.col("key") == F.col("component")).alias("kept"), "key")
 
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """The rows of `docs` that stand for their group: the least of each component, and every row without a partner."""
+    kept = near_duplicates(docs, percent, words).where("kept")
+    source = keyed(docs)
+    if not surrogate(source):
+        return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    whole = keyed(docs, *(others := [c for c in docs.columns if c not in ("doc_id", "text")]))
+    return whole.join(kept.select("key"), "key", "left_semi").withColumnsRenamed({f"keep_{i}": c for i, c in enumerate(others)}).select(docs.columns)

@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import suffixes
 
@@ -50,6 +56,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_suffixes": op2_suffixes,
     "op4_minhash": op4_minhash,
     "op5_packing": op5_packing,

@@ -323,11 +323,11 @@ def _last_groups(length: int):
     return run
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, core: int | None = None) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, core: int | None = None, keep: tuple = ()) -> DataFrame:
     """key, doc_id, text and `marks` (kind, start, stop) of each document: the repeated byte intervals of the whole corpus."""
     spark, core = docs.sparkSession, core or max(8, length * CORE // LENGTH)
     scratch = Scratch(spark)
-    source = keyed(docs)
+    source = keyed(docs, *keep)
     n = buckets(spark, text_bytes(docs), 24_000_000)
     gather = lambda m: m.groupBy("key").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("marks"))
     one = scratch.keep(source.select("key", "text").mapInArrow(_first_pass(n, length, core), _PACKED).groupBy("bucket").applyInArrow(_first_groups, _MARKS), "first")
@@ -371,12 +371,16 @@ def digest(docs: DataFrame, length: int = LENGTH, core: int | None = None) -> Da
 
 
 def strip(docs: DataFrame, length: int = LENGTH, core: int | None = None) -> DataFrame:
-    """doc_id and text without the repeated strings; characters that a cut leaves incomplete go with it. Rows keep their number."""
+    """`docs` with `text` less its repeated strings; characters that a cut leaves incomplete go with it. Rows keep their number, null texts stay null."""
     core = core or max(8, length * CORE // LENGTH)
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, most=4_000_000):
-            texts = [None if t is None else _kept(t.encode("utf-8", "surrogatepass"), m, length, core)[0].decode("utf-8", "ignore") for t, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+            texts = [None if t is None else _kept(t.encode("utf-8", "surrogatepass"), m, length, core)[0].decode("utf-8", "ignore") for t, m in zip(b.column("text").to_pylist(), b.column("marks").to_pylist())]
+            cols = {c: b.column(c) for c in b.schema.names if c != "marks"} | {"text": pa.array(texts, pa.string())}
+            yield pa.RecordBatch.from_pydict(cols)
 
-    return repeats(docs, length, core).select("doc_id", "text", "marks").mapInArrow(run, "doc_id long, text string")
+    names = {f"keep_{i}": c for i, c in enumerate(others)}
+    found = repeats(docs, length, core, others).select("doc_id", "text", *names, "marks")
+    return found.mapInArrow(run, found.drop("marks").schema).withColumnsRenamed(names).select(docs.columns)

@@ -227,3 +227,17 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, RESULT)
+
+
+def reject(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs` that score below `threshold`, all columns."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for b in slices(batches, most=2_000_000):
+            if m is not None:
+                b = b.filter(pa.array(m.scores([t or "" for t in b.column("text").to_pylist()]) < threshold))
+            yield b
+
+    return docs.mapInArrow(run, docs.schema)
