@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+ROWS_AT_ONCE = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,8 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.base = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}"
         self.n = 0
+        # rows that go to Python at once: texts are long, and a batch must fit beside others in a worker's memory
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1

@@ -36,8 +36,8 @@ from .common import U64, Scratch, buckets, keyed, mix, release, seeds, slices, t
 LENGTH = 100
 CORE = 48
 HOT = 16
-PIECE = 1 << 20  # bytes of a text that are worked on at once
-FLUSH = 700_000  # suffixes that a task gathers before it sends them
+PIECE = 1 << 19  # bytes of a text that are worked on at once
+FLUSH = 300_000  # suffixes that a task gathers before it sends them
 BYTES = seeds(256, 2)
 STEP = seeds(16, 3)
 
@@ -127,7 +127,7 @@ class Names:
 def _pieces(batches: Iterator[pa.RecordBatch], extra: bool = False) -> Iterator[list]:
     """Lists of (key, bytes, lo, hi[, marks]) that hold about PIECE bytes."""
     out, n = [], 0
-    for b in slices(batches, most=4 * PIECE):
+    for b in slices(batches, most=2 * PIECE):
         marks = b.column(2).to_pylist() if extra else [None] * b.num_rows
         for key, text, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), marks):
             raw = (text or "").encode("utf-8", "surrogatepass")
@@ -225,6 +225,7 @@ def _first_pass(n_buckets: int, length: int, core: int):
             names = Names(pieces, length, core)
             place, digit, left, right = names.samples()
             held.append((digit, names.name(place - left, left + right) + left.astype(np.uint64) * STEP[13], names.keys[names.piece[place]], names.at[place], left, right))
+            del names, place, digit, left, right
             if sum(len(x[0]) for x in held) >= FLUSH:
                 yield from flush()
         yield from flush()
@@ -301,6 +302,7 @@ def _last_pass(n_buckets: int, length: int, core: int):
             place = np.flatnonzero(want & names.whole)
             name = names.name(place, np.full(len(place), length))
             held.append((name, names.keys[names.piece[place]], names.at[place]))
+            del names, place, name, want, wanted
             if sum(len(x[0]) for x in held) >= FLUSH:
                 yield from flush()
         yield from flush()
@@ -328,7 +330,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, core: int | None = None, keep
     spark, core = docs.sparkSession, core or max(8, length * CORE // LENGTH)
     scratch = Scratch(spark)
     source = keyed(docs, *keep)
-    n = buckets(spark, text_bytes(docs), 24_000_000)
+    n = buckets(spark, text_bytes(docs), 12_000_000)
     gather = lambda m: m.groupBy("key").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("marks"))
     one = scratch.keep(source.select("key", "text").mapInArrow(_first_pass(n, length, core), _PACKED).groupBy("bucket").applyInArrow(_first_groups, _MARKS), "first")
     release(spark)
