@@ -35,6 +35,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lattice
+
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffixes": op2_suffixes,
     "op4_minhash": op4_minhash,
     "op5_packing": op5_packing,
+    "op7_lattice": op7_lattice,
     "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
     "op10_language": op10_language,
