@@ -21,6 +21,12 @@ def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import media
+
+    return media.align(media.fingerprints(media.recordings_of(table(spark, sf_dir, "embeddings"))))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import minhash
 
@@ -35,6 +41,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import pieces
+
+    return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lattice
 
@@ -64,8 +78,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_suffixes": op2_suffixes,
+    "op3_media": op3_media,
     "op4_minhash": op4_minhash,
     "op5_packing": op5_packing,
+    "op6_pieces": op6_pieces,
     "op7_lattice": op7_lattice,
     "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
