@@ -5,8 +5,8 @@ A document's set of word shingles is hashed into `REGISTERS` buckets. A register
 corrected for the collisions that sets of these sizes make by chance, estimates the Jaccard similarity of those that meet, and pairs that could be
 linked are confirmed on full shingle sets of their whole texts.
 
-Documents with equal sets form a class first, and one stands for it. Representatives that meet under a key are confirmed against the key's
-least one, the best-estimated for each; the components of these links leave little. Then only keys under which several components meet are
+Documents with equal sets form a class first, and one stands for it. Representatives that meet under keys are confirmed each against one of the keys'
+least ones, that with which it shares most keys; the components of these links leave little. Then only keys under which several components meet are
 looked at again, and there every pair of different components is estimated, in blocks, so that no link between components is lost;
 inside a component more links change nothing. A band misses a pair at the threshold with probability 1 - 0.85^4; all 32 together miss it once in
 10^10.
@@ -179,7 +179,7 @@ def _registers(col: pa.Array) -> np.ndarray:
 
 
 def _estimated(percent: int):
-    """(a, b, sizes and registers of both) -> (a, b, estimate) of pairs that could be linked."""
+    """(a, b, sizes and registers of both) -> (a, b) of pairs that could be linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,7 +187,7 @@ def _estimated(percent: int):
                 x, y = _registers(b.column("ra")), _registers(b.column("rb"))
                 na, nb = (np.asarray(b.column(c)).astype(float) for c in ("na", "nb"))
                 ok = _could(x, y, na, nb, percent)
-                yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok)), pa.array(estimate(x[ok], y[ok], na[ok], nb[ok]))], names=["a", "b", "estimate"])
+                yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], names=["a", "b"])
 
     return run
 
@@ -217,6 +217,9 @@ def _crossing(percent: int):
         key, block = (np.asarray(t.column(c)) for c in ("key", "block"))
         label, size = np.asarray(t.column("component")), np.asarray(t.column("n")).astype(float)
         r = _registers(t.column("registers").combine_chunks() if t.num_rows else t.column("registers"))
+        names, used = bands(r)
+        names = np.where(used, names, np.arange(len(names))[:, None])  # registers that are all empty are no key
+        here = int(np.flatnonzero(names[0] == t.column("band")[0].as_py())[0])
         i, j = int(t.column("i")[0].as_py()), int(t.column("j")[0].as_py())
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         # the largest component need not meet itself; rows of all others meet every row
@@ -226,6 +229,7 @@ def _crossing(percent: int):
             y = y[(label[y] != label[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
             for s in range(0, len(y), 4096):
                 z = y[s : s + 4096]
+                z = z[~(names[z, :here] == names[x, :here]).any(axis=1)]  # a pair is looked at under its first common key only
                 z = z[_could(r[z], r[x][None, :], size[z], size[x], percent)]
                 out_a.append(np.full(len(z), key[x]))
                 out_b.append(key[z])
@@ -238,7 +242,7 @@ def _crossing(percent: int):
 def _confirm(pairs: DataFrame, texts: DataFrame, percent: int, words: int, scratch: Scratch) -> DataFrame:
     """Links among `pairs` (a, b), confirmed on whole texts. The texts of pairs' members are shuffled, no others."""
     members = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    some = scratch.keep(texts.join(members, "key", "left_semi"), "texts")
+    some = scratch.keep(texts.join(members.hint("merge"), "key", "left_semi"), "texts")  # alike at every size: no broadcast of what grows
     side = lambda x: some.select(F.col("key").alias(x), F.col("text").alias(f"t{x}"))
     links = scratch.keep(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_confirmed(percent, words), "a long, b long"), "links")
     scratch.drop(some)
@@ -256,10 +260,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     reps = scratch.keep(sketched.join(classes, F.col("key") == F.col("rep"), "left_semi").select("key", "n_shingles", "registers", "bands"), "representatives")
     meet = reps.select("key", F.explode("bands").alias("band"))
     least = meet.groupBy("band").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    star = meet.withColumnRenamed("key", "a").join(least, "band").where("a <> b").select("a", "b").distinct()
+    star = meet.withColumnRenamed("key", "a").join(least, "band").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    nearest = star.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
     side = lambda x: reps.select(F.col("key").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
-    likely = star.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimated(percent), "a long, b long, estimate double")
-    best = scratch.keep(likely.groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b")), "best")
+    best = scratch.keep(nearest.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimated(percent), "a long, b long"), "best")
     links = _confirm(best, texts, percent, words, scratch)
     release(spark)
     grown = components(links, scratch)
