@@ -13,6 +13,7 @@ score is 0. Repeated rows and ties are answered alike; other columns are ignored
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -188,27 +189,32 @@ class Model:
         return 1 / (1 + np.exp(-(x @ self.curve[:-1] + self.curve[-1]).clip(-500, 500)))
 
 
-def _sample(rows: DataFrame, toxic: int, remainder: int, n: int) -> list[str]:
-    part = rows.where((F.col("toxic") == toxic) & (fold(F.col("doc_id")) == remainder))
-    part = part.select("text", (F.length("text") > LONG).alias("long"), F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("long", "h", "doc_id").limit(n)
-    out, chars = [], 0
-    for r in part.select("text").toLocalIterator():
-        if chars >= SAMPLE_CHARS:
-            break
-        out.append(r.text)
-        chars += len(r.text)
+def _sampled(docs: DataFrame, labels: DataFrame, n: int) -> dict[tuple[int, int], list[str]]:
+    """Texts by (toxic, remainder of the fold): those of the ids that hash lowest, shorter than LONG where there are enough.
+
+    At most 2 * n ids of a class and remainder are drawn, from the labels alone, so the join that fetches their texts broadcasts a bounded set."""
+    marked = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic", fold(F.col("doc_id")).alias("remainder"), F.xxhash64("doc_id").alias("h")).distinct()
+    groups = [(k, r) for k in (0, 1) for r in (0, 2)]
+    drawn = [marked.where((F.col("toxic") == k) & (F.col("remainder") == r)).orderBy("h", "doc_id").limit(2 * n) for k, r in groups]
+    ids = reduce(lambda a, b: a.unionByName(b), drawn)
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").collect()
+    out: dict = {g: [] for g in groups}
+    chars = dict.fromkeys(groups, 0)
+    for r in sorted(rows, key=lambda r: (len(r.text) > LONG, r.h, r.doc_id, r.text)):
+        g = (r.toxic, r.remainder)
+        if len(out[g]) < n and chars[g] < SAMPLE_CHARS:
+            out[g].append(r.text)
+            chars[g] += len(r.text)
     return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Fits on a bounded sample of labelled rows: remainder 0 of the fold for the models, 2 for the curve; 1 is held out. None without both classes."""
-    rows = docs.select("doc_id", "text").where("text is not null").join(labels.select("doc_id", "toxic").where("toxic is not null and doc_id is not null"), "doc_id")
-    ordinary, toxic = (_sample(rows, k, 0, sample_rows) for k in (0, 1))
-    curve = [_sample(rows, k, 2, sample_rows) for k in (0, 1)]
-    if not ordinary or not toxic or not curve[0] or not curve[1]:
+    texts = _sampled(docs, labels, sample_rows)
+    if not all(texts.values()):
         return None
-    model = Model(ordinary, toxic)
-    model.fit_curve(curve[0] + curve[1], np.array([False] * len(curve[0]) + [True] * len(curve[1])))
+    model = Model(texts[0, 0], texts[1, 0])
+    model.fit_curve(texts[0, 2] + texts[1, 2], np.array([False] * len(texts[0, 2]) + [True] * len(texts[1, 2])))
     return model
 
 
