@@ -91,12 +91,13 @@ def variant_failures(summary: DataFrame, f: Filters) -> DataFrame:
         tests.append(F.when(F.col("maf") < f.maf, F.lit("maf")))
     if f.hwe is not None:
         tests.append(F.when(F.abs("z_hwe") >= abs(NormalDist().inv_cdf(f.hwe / 2)), F.lit("hwe")))
-    return summary.select("snp_id", F.explode(F.array_compact(F.array(*tests))).alias("filter"))
+    none = F.lit(None).cast("string")
+    return summary.select("snp_id", F.explode(F.array_compact(F.array(none, *tests))).alias("filter"))
 
 
 def sample_failures(summary: DataFrame, f: Filters, inbred: DataFrame | None = None) -> DataFrame:
     """sample_id, filter."""
-    out = []
+    out = [summary.where("false").select("sample_id", F.lit("").alias("filter"))]
     if f.sample_call_rate is not None:
         out.append(summary.where(F.col("call_rate") < f.sample_call_rate).select("sample_id", F.lit("sample_call_rate").alias("filter")))
     if f.hetero_hard is not None:

@@ -12,7 +12,7 @@ from ..sources.fixtures import source, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-THRESHOLDS = qc.Filters(snp_call_rate=0.55, maf=0.40, hwe=0.001, sample_call_rate=0.5, hetero_stat="median", hetero_fac=2.0, inbreed=0.1)
+THRESHOLDS = qc.Filters(snp_call_rate=0.55, maf=0.45, hwe=1e-12, sample_call_rate=0.4, hetero_stat="median", hetero_fac=2.0, inbreed=0.5)
 
 
 def query(sql: str | None = None, *views: str):
@@ -114,12 +114,12 @@ _SAMPLES = """samples AS (SELECT sample_id, called, called / CAST((SELECT count(
   SELECT sample_id, count(dosage) AS called, sum(CASE WHEN dosage = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS het FROM gt GROUP BY sample_id) x)"""
 _INBRED = """inbred AS (SELECT sample_id, 1 - sum(CASE WHEN dosage = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) / sum(2 * maf * (1 - maf)) AS f
   FROM gt JOIN snps USING (snp_id) WHERE dosage IS NOT NULL GROUP BY sample_id)"""
-_BAD_SNPS = """bad_snps AS (SELECT snp_id, 'snp_call_rate' AS filter FROM snps WHERE call_rate < 0.55 UNION ALL SELECT snp_id, 'maf' FROM snps WHERE maf < 0.40
-  UNION ALL SELECT snp_id, 'hwe' FROM snps WHERE abs(z_hwe) >= 3.2905267314918945)"""
+_BAD_SNPS = """bad_snps AS (SELECT snp_id, 'snp_call_rate' AS filter FROM snps WHERE call_rate < 0.55 UNION ALL SELECT snp_id, 'maf' FROM snps WHERE maf < 0.45
+  UNION ALL SELECT snp_id, 'hwe' FROM snps WHERE abs(z_hwe) >= 7.130506848171323)"""
 _BAD_SAMPLES = """bounds AS (SELECT quantile_cont(heterozygosity, 0.5) - 2 * (quantile_cont(heterozygosity, 0.75) - quantile_cont(heterozygosity, 0.25)) AS low,
   quantile_cont(heterozygosity, 0.5) + 2 * (quantile_cont(heterozygosity, 0.75) - quantile_cont(heterozygosity, 0.25)) AS high FROM samples),
-  bad_samples AS (SELECT sample_id, 'sample_call_rate' AS filter FROM samples WHERE call_rate < 0.5
-  UNION ALL SELECT sample_id, 'heterozygosity' FROM samples, bounds WHERE heterozygosity < low OR heterozygosity > high UNION ALL SELECT sample_id, 'inbreeding' FROM inbred WHERE f > 0.1)"""
+  bad_samples AS (SELECT sample_id, 'sample_call_rate' AS filter FROM samples WHERE call_rate < 0.4
+  UNION ALL SELECT sample_id, 'heterozygosity' FROM samples, bounds WHERE heterozygosity < low OR heterozygosity > high UNION ALL SELECT sample_id, 'inbreeding' FROM inbred WHERE f > 0.5)"""
 
 
 def _sql(parts: list[str], select: str, *views: str) -> str:
