@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-ROWS_AT_ONCE = 500
+ROWS_AT_ONCE = 128
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

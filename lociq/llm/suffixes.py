@@ -233,6 +233,21 @@ def _first_pass(n_buckets: int, length: int, core: int):
     return run
 
 
+def _by_bucket(settle):
+    """Runs `settle` on each bucket of a partition; a partition holds a few buckets of bounded size, and needs no sort by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
+        for b in batches:
+            bucket = np.asarray(b.column(0))
+            for k in np.unique(bucket).tolist():
+                held.setdefault(k, []).append(b.filter(pa.array(bucket == k)))
+        while held:
+            yield from settle(pa.Table.from_batches(held.popitem()[1])).to_batches(max_chunksize=50_000)
+
+    return run
+
+
 def _first_groups(t: pa.Table) -> pa.Table:
     told = t.filter(t.column("mark"))
     start, kinds, key, stop = _unpack(told)
@@ -332,11 +347,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, core: int | None = None, keep
     source = keyed(docs, *keep)
     n = buckets(spark, text_bytes(docs), 12_000_000)
     gather = lambda m: m.groupBy("key").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("marks"))
-    one = scratch.keep(source.select("key", "text").mapInArrow(_first_pass(n, length, core), _PACKED).groupBy("bucket").applyInArrow(_first_groups, _MARKS), "first")
+    one = scratch.keep(source.select("key", "text").mapInArrow(_first_pass(n, length, core), _PACKED).repartition(n, "bucket").mapInArrow(_by_bucket(_first_groups), _MARKS), "first")
     release(spark)
     contested = one.where(F.col("kind") == CONTESTED).select("key").distinct()
     left = source.select("key", "text").join(gather(one.join(contested, "key", "left_semi")), "key").select("key", "text", "marks")
-    two = scratch.keep(left.mapInArrow(_last_pass(n, length, core), _PACKED).groupBy("bucket").applyInArrow(_last_groups(length), _MARKS), "last")
+    two = scratch.keep(left.mapInArrow(_last_pass(n, length, core), _PACKED).repartition(n, "bucket").mapInArrow(_by_bucket(_last_groups(length)), _MARKS), "last")
     release(spark)
     return source.join(gather(one.where(F.col("kind") != CONTESTED).unionByName(two)), "key", "left")
 
