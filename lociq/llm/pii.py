@@ -1,6 +1,6 @@
 """Personal data by fixed patterns and by bootstrapped contexts, in DataFrame functions only.
 
-The patterns find seeds: e-mail and IP addresses, card and phone numbers. Every token that holds a digit or an @ is an instance; the two words before it, and
+The patterns find seeds: e-mail and IP addresses, card and phone numbers. Seeds, and every other token with an @ or enough digits, are instances; the two words before one, and
 the word before with the word after it, are its lexical patterns. Pattern and instance form a bipartite graph over all rows. In each round a
 pattern's confidence in a kind is the share of its distinct instances that are known to be of the kind, and an instance's is the noisy-or of its
 patterns; instances that reach `CONFIDENT` become known, and the next round starts from them. A pattern needs `SUPPORT` distinct known
@@ -74,8 +74,8 @@ def _kind_spans(kind: str, found: Column) -> Column:
     return F.filter(found, lambda s: _passes(kind, s["match"]))
 
 
-def _tagged(tag: Column, spans: str) -> Column:
-    return F.transform(spans, lambda s: F.named_struct(F.lit("kind"), tag, F.lit("start"), s["start"], F.lit("end"), s["end"]))
+def _tagged(tag: Column, spans: Column | str) -> Column:
+    return F.transform(spans, lambda s: F.named_struct(F.lit("kind"), tag, F.lit("start"), s["start"], F.lit("end"), s["end"], F.lit("match"), s["match"]))
 
 
 def annotate(docs: DataFrame, *keep: str) -> DataFrame:
@@ -85,26 +85,28 @@ def annotate(docs: DataFrame, *keep: str) -> DataFrame:
     there = {"email": F.contains(text, F.lit("@")), "ip": digit, "card": digit, "phone": F.contains(text, F.lit("+"))}
     out = docs.withColumn("text", text) if "text" in keep else docs
     spans = [_kind_spans(k, matches(text, PATTERNS[k], there[k])).alias(k) for k in KINDS]
+    found = out.select(F.monotonically_increasing_id().alias("key"), "doc_id", *keep, text.alias("whole"), *spans, matches(text, TOKEN, digit | there["email"]).alias("tokens"))
     words = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}\s]", ""))
-    near = lambda t, s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"),
-        words(F.regexp_extract(F.substring(t, F.greatest(s["start"] - 60, F.lit(0)) + 1, F.least(s["start"], F.lit(60))), r"(\S+\s+\S+)\s+$", 1)).alias("before"),
-        words(F.regexp_extract(F.substring(t, s["end"] + 1, F.lit(40)), r"^\s+(\S+)", 1)).alias("after"),
+    base = F.concat(*[_tagged(F.lit(k), k) for k in KINDS])
+    loose = F.filter("tokens", lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    whole = F.col("whole")
+    near = F.transform(
+        F.concat(base, _tagged(F.lit(None).cast("string"), loose)),
+        lambda s: F.named_struct(
+            F.lit("kind"), s["kind"], F.lit("start"), s["start"], F.lit("end"), s["end"], F.lit("match"), s["match"],
+            F.lit("before"), words(F.regexp_extract(F.substring(whole, F.greatest(s["start"] - 60, F.lit(0)) + 1, F.least(s["start"], F.lit(60))), r"(\S+\s+\S+)\s+$", 1)),
+            F.lit("after"), words(F.regexp_extract(F.substring(whole, s["end"] + 1, F.lit(40)), r"^\s+(\S+)", 1)),
+        ),
     )
-    tokens = F.transform(matches(text, TOKEN, digit | there["email"]), lambda s: near(text, s)).alias("tokens")
-    return out.select(F.monotonically_increasing_id().alias("key"), "doc_id", *keep, *spans, tokens)
+    return found.select("key", "doc_id", *keep, *KINDS, near.alias("tokens"))
 
 
 def discover(annotated: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
     """key, kind, start, end of the identifiers that only their contexts give away."""
     scratch = Scratch(annotated.sparkSession)
-    seeds = [_tagged(F.lit(k), k) for k in KINDS]
-    token = annotated.where(F.size("tokens") > 0).select("key", F.concat(*seeds).alias("seeds"), F.explode("tokens").alias("t")).select(
-        "key", "t.*", F.filter("seeds", lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start"))).alias("on")
-    )
-    token = token.withColumn("kind", F.when(F.size("on") > 0, F.col("on")[0]["kind"])).drop("on")
+    token = annotated.where(F.size("tokens") > 0).select("key", F.explode("tokens").alias("t")).select("key", "t.*")
     instance = F.lower(F.regexp_replace("match", r"^[\p{P}&&[^+@]]+|[\p{P}&&[^@]]+$", ""))
-    shaped = F.contains("match", F.lit("@")) | (_digits(F.col("match")) >= LEAST_DIGITS)
+    shaped = F.col("kind").isNotNull() | F.contains("match", F.lit("@")) | (_digits(F.col("match")) >= LEAST_DIGITS)
     last = F.regexp_extract("before", r"(\S+)$", 1)
     rows = token.where(shaped).withColumn("instance", instance)
     rows = rows.withColumn("patterns", F.array_compact(F.array(F.when(F.col("before") != "", F.concat(F.col("before"), F.lit(" _"))), F.when((last != "") & (F.col("after") != ""), F.concat(last, F.lit(" _ "), F.col("after"))))))
@@ -135,7 +137,7 @@ def _all(annotated: DataFrame) -> DataFrame:
 
 def _listed() -> tuple[Column, Column]:
     """Base spans and all spans as arrays of (kind's place, start, end), in that order."""
-    base = F.concat(*[_tagged(F.lit(i), k) for i, k in enumerate(KINDS)])
+    base = F.transform(F.concat(*[_tagged(F.lit(i), k) for i, k in enumerate(KINDS)]), lambda s: F.named_struct(F.lit("kind"), s["kind"], F.lit("start"), s["start"], F.lit("end"), s["end"]))
     place = lambda c: (F.array_position(F.array(*map(F.lit, KINDS)), c) - 1).cast("int")
     added = F.transform(F.coalesce("found", F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)")), lambda s: F.named_struct(F.lit("kind"), place(s["kind"]), F.lit("start"), s["start"], F.lit("end"), s["end"]))
     return F.array_sort(base), F.array_sort(F.array_distinct(F.concat(base, added)))
@@ -154,9 +156,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def mask(docs: DataFrame) -> DataFrame:
     """`docs` with each span in `text` replaced by its kind in brackets; of overlapping spans the first is replaced. Null texts stay null."""
-    names = [c for c in docs.columns if c != "doc_id"]
-    inner = docs.withColumns({"was_null": F.col("text").isNull()})
-    rows = _all(Scratch(docs.sparkSession).keep(annotate(inner, *names, "was_null"), "annotated"))
+    names = {f"keep_{i}": c for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}  # columns may be called as those used here
+    inner = docs.select("doc_id", "text", F.col("text").isNull().alias("was_null"), *(docs[c].alias(k) for k, c in names.items()))
+    rows = _all(Scratch(docs.sparkSession).keep(annotate(inner, "text", "was_null", *names), "annotated"))
     _, spans = _listed()
     by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     cut = F.aggregate(
@@ -169,4 +171,4 @@ def mask(docs: DataFrame) -> DataFrame:
         lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))),
     )
     text = F.when(F.col("was_null"), F.lit(None).cast("string")).when(F.size(spans) > 0, cut).otherwise(F.col("text"))
-    return rows.withColumn("text", text).select(*docs.columns)
+    return rows.select("doc_id", text.alias("text"), *(F.col(k).alias(c) for k, c in names.items())).select(docs.columns)
