@@ -299,4 +299,4 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) ->
     if not surrogate(source):
         return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
     whole = keyed(docs, *(others := [c for c in docs.columns if c not in ("doc_id", "text")]))
-    return whole.join(kept.select("key"), "key", "left_semi").withColumnsRenamed({f"keep_{i}": c for i, c in enumerate(others)}).select(docs.columns)
+    return whole.join(kept.select("key"), "key", "left_semi").drop("key").withColumnsRenamed({f"keep_{i}": c for i, c in enumerate(others)}).select(docs.columns)
