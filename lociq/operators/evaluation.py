@@ -92,3 +92,13 @@ def jarque_bera(data: DataFrame, by: str, value: str) -> DataFrame:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def score_r2(scores: DataFrame, pheno: DataFrame, by: list[str], response: str) -> DataFrame:
+    """by..., r2 of response ~ score."""
+    return scores.join(pheno.select("sample_id", F.col(response).alias("y")), "sample_id").groupBy(*by).agg(F.regr_r2("y", "score").alias("r2"))
+
+
+def bootstrap_p(random: DataFrame, observed: DataFrame) -> DataFrame:
+    """p: share of random sets whose r2 reaches the observed one (a single row)."""
+    return random.join(F.broadcast(observed.select(F.col("r2").alias("seen")))).agg(F.avg((F.col("r2") >= F.col("seen")).cast("double")).alias("p"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -73,3 +73,16 @@ def principal_components(gram_rows: list, k: int) -> tuple[np.ndarray, np.ndarra
     w, v = np.linalg.eigh(m)
     order = np.argsort(-w)[:k]
     return w[order], v[:, order]
+
+
+def tracy_widom(eigenvalues: DataFrame) -> DataFrame:
+    """idx, stat of eigenvalues (idx from the largest, value), corrected for the effective number of markers by suffix sums.
+
+    There are as many rows as there are components that were kept, so one ordered window holds them all."""
+    w = Window.orderBy("idx").rowsBetween(0, Window.unboundedFollowing)
+    t = eigenvalues.withColumns({"l1": F.sum("value").over(w), "l2": F.sum(F.col("value") * F.col("value")).over(w), "n": F.count(F.lit(1)).over(w).cast("double")})
+    t = t.withColumn("s2", F.col("n") * F.col("n") * F.col("l2") / (F.col("l1") * F.col("l1"))).where("s2 > n").withColumn("v", F.col("n") * (F.col("n") + 2) / (F.col("s2") - F.col("n"))).where("v > 1")
+    root, n = F.sqrt(F.col("v") - 1), F.sqrt("n")
+    mu = (root + n) * (root + n) / F.col("v")
+    sigma = (root + n) / F.col("v") * F.pow(1 / root + 1 / n, F.lit(1.0 / 3))
+    return t.select("idx", ((F.col("n") * F.col("value") / F.col("l1") - mu) / sigma).alias("stat"))

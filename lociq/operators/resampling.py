@@ -71,3 +71,11 @@ def cut_offs(frequencies: DataFrame, min_snps: int) -> DataFrame:
     g = frequencies.groupBy(F.col("freq").alias("cut")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.orderBy(F.col("cut").desc())  # as many rows as there are iterations, not as there are variants
     return g.withColumn("n_snp", F.sum("n").over(w)).where(F.col("n_snp") > min_snps).select("cut", "n_snp")
+
+
+def simulate(samples: DataFrame, n_variants: int, frequencies: list[float]) -> DataFrame:
+    """sample_id, snp_id, dosage: two independent draws against the variant's allele frequency, which goes round `frequencies`."""
+    grid = samples.select("sample_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_variants - 1).cast("long"))).alias("snp_id"))
+    f = F.element_at(F.array(*map(F.lit, frequencies)), (F.col("snp_id") % len(frequencies) + 1).cast("int"))
+    hit = lambda k: (draw(F.col("sample_id"), F.col("snp_id") * 2 + k).cast("double") / float(PRIME) < f).cast("int")
+    return grid.select("sample_id", "snp_id", (hit(0) + hit(1)).alias("dosage"))

@@ -65,3 +65,15 @@ def id_kind(name: str):
     """Which catalogue an id belongs to: efo (EFO_ and digits), pgs (PGS and six digits), pubmed (up to eight digits) or none."""
     c = F.col(name)
     return F.when(c.rlike("^EFO_[0-9]+$"), "efo").when(c.rlike("^PGS[0-9]{6}$"), "pgs").when(c.rlike("^[0-9]{1,8}$"), "pubmed").otherwise("none")
+
+
+def threshold_scores(gt: DataFrame, weights: DataFrame, p: DataFrame, thresholds: list[float]) -> DataFrame:
+    """sample_id, threshold, score over variants with p within each threshold. A variant adds to the least threshold that admits it; a running sum over
+    a sample's few thresholds does the rest."""
+    cuts = sorted(thresholds)
+    least = F.coalesce(*[F.when(F.col("p") <= t, F.lit(t)) for t in cuts])
+    rated = weights.join(p, "snp_id").withColumn("threshold", least).where("threshold is not null").select("snp_id", "weight", "threshold")
+    part = gt.where("dosage is not null").join(rated, "snp_id").groupBy("sample_id", "threshold").agg(F.sum(F.col("dosage").cast("double") * F.col("weight")).alias("s"))
+    grid = part.select("sample_id").distinct().select("sample_id", F.explode(F.array(*map(F.lit, cuts))).alias("threshold"))
+    w = Window.partitionBy("sample_id").orderBy("threshold").rowsBetween(Window.unboundedPreceding, 0)
+    return grid.join(part, ["sample_id", "threshold"], "left").select("sample_id", "threshold", F.sum(F.coalesce("s", F.lit(0.0))).over(w).alias("score"))

@@ -605,3 +605,61 @@ def impute_mode(v, t):
 @query()
 def impute_knn(v, t):
     return imputation.impute_neighbours(v("gt"), 5)
+
+
+# ---- thresholds, bootstraps, simulation, components --------------------------------------------------------------------------------------------------------
+
+_CUTS = [0.005, 0.02, 0.1, 1.0]
+_LEAST = "least_p AS (SELECT snp_id, min(p) AS p FROM pvals GROUP BY snp_id)"
+
+
+@query(_sql([_LEAST, """scored AS (SELECT s.sample_id, t.threshold, coalesce(sum(CAST(dosage AS DOUBLE) * weight) FILTER (WHERE p <= t.threshold), 0) AS score
+  FROM (SELECT sample_id, dosage, weight, p FROM gt JOIN weights USING (snp_id) JOIN least_p USING (snp_id) WHERE dosage IS NOT NULL) s, (SELECT unnest([0.005, 0.02, 0.1, 1.0]::DOUBLE[]) AS threshold) t GROUP BY 1, 2)"""],
+  "SELECT threshold, round(regr_r2(trait, score), 6) AS r2 FROM scored JOIN pheno USING (sample_id) GROUP BY threshold", "gt", "weights", "pvals", "pheno"))
+def ct_scan(v, t):
+    p = v("pvals").groupBy("snp_id").agg(F.min("p").alias("p"))
+    return rounded(evaluation.score_r2(scoring.threshold_scores(v("gt"), v("weights"), p, _CUTS), v("pheno"), ["threshold"], "trait"))
+
+
+_RANDOM = """sets20 AS (SELECT rep, snp_id FROM (SELECT snp_id, rep, row_number() OVER (PARTITION BY rep ORDER BY r, snp_id) AS n FROM (SELECT snp_id, rep, (a * a * 31 + a * 17 + rep * 613) % 1000003 AS r FROM (
+  SELECT snp_id, rep, (snp_id * 7919 + rep * 104729 + 12345) % 1000003 AS a FROM variants, (SELECT unnest(range(1, 21)) AS rep) x) y) z) w WHERE n <= 10),
+  random_scores AS (SELECT rep, sample_id, sum(CAST(dosage AS DOUBLE) * weight) AS score FROM gt JOIN weights USING (snp_id) JOIN sets20 USING (snp_id) WHERE dosage IS NOT NULL GROUP BY 1, 2),
+  random_r2 AS (SELECT rep, regr_r2(trait, score) AS r2 FROM random_scores JOIN pheno USING (sample_id) GROUP BY rep),
+  seen AS (SELECT regr_r2(trait, score) AS r2 FROM (SELECT sample_id, sum(CAST(dosage AS DOUBLE) * weight) AS score FROM gt JOIN weights USING (snp_id) WHERE dosage IS NOT NULL AND snp_id < 10 GROUP BY 1) s JOIN pheno USING (sample_id))"""
+
+
+@query(_sql([_RANDOM], "SELECT avg(CASE WHEN random_r2.r2 >= seen.r2 THEN 1.0::DOUBLE ELSE 0 END) AS p FROM random_r2, seen", "gt", "weights", "variants", "pheno"))
+def random_sets_bootp(v, t):
+    cells = v("gt").where("dosage is not null").join(v("weights"), "snp_id").withColumn("add", F.col("dosage").cast("double") * F.col("weight"))
+    random = cells.join(resampling.random_sets(v("variants"), 20, 10), "snp_id").groupBy("rep", "sample_id").agg(F.sum("add").alias("score"))
+    seen = cells.where("snp_id < 10").groupBy("sample_id").agg(F.sum("add").alias("score")).withColumn("rep", F.lit(0))
+    return evaluation.bootstrap_p(evaluation.score_r2(random, v("pheno"), ["rep"], "trait"), evaluation.score_r2(seen, v("pheno"), ["rep"], "trait"))
+
+
+_FREQUENCIES = [0.01, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4]
+
+
+@query("""SELECT sample_id, snp_id, CAST((CASE WHEN r1 / 1000003.0::DOUBLE < f THEN 1 ELSE 0 END) + (CASE WHEN r2 / 1000003.0::DOUBLE < f THEN 1 ELSE 0 END) AS INT) AS dosage FROM (SELECT sample_id, snp_id, ([0.01, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4]::DOUBLE[])[snp_id % 8 + 1] AS f,
+  (a * a * 31 + a * 17 + snp_id * 2 * 613) % 1000003 AS r1, (b * b * 31 + b * 17 + (snp_id * 2 + 1) * 613) % 1000003 AS r2 FROM (SELECT c_custkey AS sample_id, s.snp_id, (c_custkey * 7919 + snp_id * 2 * 104729 + 12345) % 1000003 AS a,
+  (c_custkey * 7919 + (snp_id * 2 + 1) * 104729 + 12345) % 1000003 AS b FROM customer, (SELECT unnest(range(0, 24)) AS snp_id) s) x) y""")
+def simulate_genotypes(v, t):
+    return resampling.simulate(t("customer").select(F.col("c_custkey").alias("sample_id")), 24, _FREQUENCIES)
+
+
+_EIGEN = "eigen AS (SELECT row_number() OVER (ORDER BY total DESC, nation) AS idx, total AS value FROM (SELECT c_nationkey AS nation, round(sum(abs(c_acctbal)) / 1000, 3) AS total FROM customer GROUP BY 1) x)"
+_TW = "t AS (SELECT idx, value, sum(value) OVER w AS l1, sum(value * value) OVER w AS l2, CAST(count(*) OVER w AS DOUBLE) AS n FROM eigen WINDOW w AS (ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), u AS (SELECT *, n * (n + 2) / (n * n * l2 / (l1 * l1) - n) AS v FROM t WHERE n * n * l2 / (l1 * l1) > n)"
+
+
+@query("WITH " + _EIGEN + ", " + _TW + " SELECT idx, round((n * value / l1 - (sqrt(v - 1) + sqrt(n)) * (sqrt(v - 1) + sqrt(n)) / v) / ((sqrt(v - 1) + sqrt(n)) / v * power(1 / sqrt(v - 1) + 1 / sqrt(n), 1.0::DOUBLE / 3)), 4) AS stat FROM u WHERE v > 1")
+def tracy_widom_stat(v, t):
+    g = t("customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.round(F.sum(F.abs("c_acctbal")) / 1000, 3).alias("value"))
+    ranked = g.select(F.row_number().over(Window.orderBy(F.col("value").desc(), "nation")).cast("long").alias("idx"), "value")
+    return rounded(relatedness.tracy_widom(ranked), 4)
+
+
+@query()
+def pca_embeddings(v, t):
+    rows = [(r.i, r.j, r.dot) for r in relatedness.gram(t("embeddings"), "embedding", "embedding").collect()]  # dimensions squared, whatever the number of rows
+    values, vectors = relatedness.principal_components(rows, 5)
+    out = [(k, i, round(float(values[k]), 3), round(float(abs(vectors[i, k])), 6)) for k in range(len(values)) for i in range(len(vectors))]
+    return t("embeddings").sparkSession.createDataFrame(out, "component int, dimension int, eigenvalue double, loading double")
