@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 
 def ld_pairs(gt: DataFrame, variants: DataFrame, window: int) -> DataFrame:
-    """snp1, snp2, n, r2 of variants on a chromosome within `window` bases; samples are matched by key, pairs only within neighbouring bins."""
+    """snp1, snp2, n, r2 of neighbouring variants."""
+    return ld_correlations(gt, variants, window).select("snp1", "snp2", "n", (F.col("r") * F.col("r")).alias("r2"))
+
+
+def ld_correlations(gt: DataFrame, variants: DataFrame, window: int) -> DataFrame:
+    """snp1, snp2, n, r of variants on a chromosome within `window` bases; samples are matched by key, pairs only within neighbouring bins."""
     v = variants.select("snp_id", "chromosome", "position").withColumn("bin", F.floor(F.col("position") / window))
     a = v.select(F.col("snp_id").alias("snp1"), "chromosome", F.col("position").alias("p1"), F.explode(F.array(F.col("bin"), F.col("bin") + 1, F.col("bin") - 1)).alias("bin"))
     near = a.join(v.select(F.col("snp_id").alias("snp2"), "chromosome", F.col("position").alias("p2"), "bin"), ["chromosome", "bin"])
@@ -17,8 +22,7 @@ def ld_pairs(gt: DataFrame, variants: DataFrame, window: int) -> DataFrame:
     g = gt.where("dosage is not null")
     left = near.join(g.select(F.col("snp_id").alias("snp1"), "sample_id", F.col("dosage").cast("double").alias("x")), "snp1")
     both = left.join(g.select(F.col("snp_id").alias("snp2"), "sample_id", F.col("dosage").cast("double").alias("y")), ["snp2", "sample_id"])
-    s = both.groupBy("snp1", "snp2").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"))
-    return s.select("snp1", "snp2", "n", (F.col("r") * F.col("r")).alias("r2"))
+    return both.groupBy("snp1", "snp2").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"))
 
 
 def _greedy(ranked: list, neighbours: dict) -> list:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import association, evaluation, imputation, intervals, merging, pvalues, qc, relatedness, resampling, scoring
+from ..operators import association, evaluation, imputation, intervals, merging, penalized, pvalues, qc, relatedness, resampling, scoring
 from ..sources.fixtures import source, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -663,3 +663,10 @@ def pca_embeddings(v, t):
     values, vectors = relatedness.principal_components(rows, 5)
     out = [(k, i, round(float(values[k]), 3), round(float(abs(vectors[i, k])), 6)) for k in range(len(values)) for i in range(len(vectors))]
     return t("embeddings").sparkSession.createDataFrame(out, "component int, dimension int, eigenvalue double, loading double")
+
+
+@query()
+def lassosum(v, t):
+    tests = association.linear(v("gt"), v("pheno"), "trait")
+    ld = relatedness.ld_correlations(v("gt"), v("variants"), 30000)
+    return rounded(penalized.summary_lasso(penalized.correlations(tests), ld, v("variants"), [0.5, 0.9], [0.001, 0.01]))

@@ -139,3 +139,15 @@ def test_streaming_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) from counts").first()[0] == events.count()
+
+
+def test_summary_lasso_meets_its_optimality_conditions():
+    from lociq.operators.penalized import coordinate_descent
+
+    rng = np.random.default_rng(2)
+    ld = np.corrcoef(rng.normal(size=(6, 40)) + rng.normal(size=40))
+    cor = rng.uniform(-0.5, 0.5, 6)
+    b = coordinate_descent(ld.copy(), cor, 0.5, 0.1)
+    r = 0.5 * ld + 0.5 * np.eye(6)
+    slope = cor - r @ b
+    assert all(abs(s) <= 0.1 + 1e-8 if x == 0 else abs(s - 0.1 * np.sign(x)) < 1e-8 for s, x in zip(slope, b)) and (b != 0).any()
