@@ -90,3 +90,30 @@ def tracy_widom(eigenvalues: DataFrame) -> DataFrame:
     mu = (root + n) * (root + n) / F.col("v")
     sigma = (root + n) / F.col("v") * F.pow(1 / root + 1 / n, F.lit(1.0 / 3))
     return t.select("idx", ((F.col("n") * F.col("value") / F.col("l1") - mu) / sigma).alias("stat"))
+
+
+def kinship_moments(gt: DataFrame, variants_summary: DataFrame) -> DataFrame:
+    """s1, s2, kinship by the method of moments over variants that both samples have called.
+
+    Expected shares of alleles identical by state given identity by descent (0, 1 or 2) come from allele frequencies; the observed counts of IBS 0, 1 and 2
+    are solved for the shares of IBD, which are bounded to 0..1, and kinship is share1 / 4 + share2 / 2."""
+    v = variants_summary.where((F.col("maf") > 0)).select("snp_id", F.col("maf").alias("p"))
+    q = 1 - F.col("p")
+    p = F.col("p")
+    g = gt.where("dosage is not null").join(v, "snp_id")
+    g = g.select("snp_id", "sample_id", "dosage", (2 * p * p * q * q).alias("e00"), (4 * p * p * p * q + 4 * p * q * q * q).alias("e10"), (2 * p * p * q + 2 * p * q * q).alias("e11"))
+    a = g.select("snp_id", F.col("sample_id").alias("s1"), F.col("dosage").alias("d1"), "e00", "e10", "e11")
+    b = g.select("snp_id", F.col("sample_id").alias("s2"), F.col("dosage").alias("d2"))
+    ibs = 2 - F.abs(F.col("d1") - F.col("d2"))
+    s = a.join(b, "snp_id").where("s1 < s2").groupBy("s1", "s2").agg(
+        F.sum((ibs == 0).cast("double")).alias("n0"), F.sum((ibs == 1).cast("double")).alias("n1"), F.sum("e00").alias("e00"), F.sum("e10").alias("e10"), F.sum("e11").alias("e11")
+    )
+    z0 = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("n0") / F.col("e00")))
+    s = s.withColumn("z0", z0).withColumn("z1", F.greatest(F.lit(0.0), F.least(1 - F.col("z0"), (F.col("n1") - F.col("z0") * F.col("e10")) / F.col("e11"))))
+    return s.select("s1", "s2", (F.col("z1") / 4 + (1 - F.col("z0") - F.col("z1")) / 2).alias("kinship"))
+
+
+def related_samples(kinship: DataFrame, least: float) -> DataFrame:
+    """sample_id of both members of every pair whose kinship reaches `least`."""
+    near = kinship.where(F.col("kinship") >= least)
+    return near.select(F.col("s1").alias("sample_id")).union(near.select("s2")).distinct()

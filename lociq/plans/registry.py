@@ -670,3 +670,24 @@ def lassosum(v, t):
     tests = association.linear(v("gt"), v("pheno"), "trait")
     ld = relatedness.ld_correlations(v("gt"), v("variants"), 30000)
     return rounded(penalized.summary_lasso(penalized.correlations(tests), ld, v("variants"), [0.5, 0.9], [0.001, 0.01]))
+
+
+_SUMMARY2 = "snps2 AS (SELECT snp_id, least(p, 1 - p) AS p FROM (SELECT snp_id, sum(CAST(dosage AS DOUBLE)) / (2 * CAST(count(dosage) AS DOUBLE)) AS p FROM gt2 GROUP BY snp_id) x WHERE least(p, 1 - p) > 0)"
+_MOMENTS = """pairs AS (SELECT a.sample_id AS s1, b.sample_id AS s2, sum(CASE WHEN abs(a.dosage - b.dosage) = 2 THEN 1.0::DOUBLE ELSE 0 END) AS n0, sum(CASE WHEN abs(a.dosage - b.dosage) = 1 THEN 1.0::DOUBLE ELSE 0 END) AS n1,
+  sum(2 * p * p * (1 - p) * (1 - p)) AS e00, sum(4 * p * p * p * (1 - p) + 4 * p * (1 - p) * (1 - p) * (1 - p)) AS e10, sum(2 * p * p * (1 - p) + 2 * p * (1 - p) * (1 - p)) AS e11
+  FROM gt2 a JOIN gt2 b ON a.snp_id = b.snp_id AND a.sample_id < b.sample_id JOIN snps2 ON snps2.snp_id = a.snp_id WHERE a.dosage IS NOT NULL AND b.dosage IS NOT NULL GROUP BY 1, 2),
+  z AS (SELECT s1, s2, least(1, greatest(0, n0 / e00)) AS z0, n1, e10, e11 FROM pairs), kin AS (SELECT s1, s2, z0, greatest(0, least(1 - z0, (n1 - z0 * e10) / e11)) AS z1 FROM z)"""
+
+
+def _kinship_moments(v) -> DataFrame:
+    return relatedness.kinship_moments(v("gt2"), qc.variant_summary(v("gt2"), 1))
+
+
+@query(_sql([_SUMMARY2, _MOMENTS], "SELECT s1, s2, round(z1 / 4 + (1 - z0 - z1) / 2, 6) AS kinship FROM kin", "gt2"))
+def kinship_moments(v, t):
+    return rounded(_kinship_moments(v))
+
+
+@query(_sql([_SUMMARY2, _MOMENTS], "SELECT s1 AS sample_id FROM kin WHERE z1 / 4 + (1 - z0 - z1) / 2 >= 0.23 UNION SELECT s2 FROM kin WHERE z1 / 4 + (1 - z0 - z1) / 2 >= 0.23", "gt2"))
+def related_samples(v, t):
+    return relatedness.related_samples(_kinship_moments(v), 0.23)
