@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,7 +20,8 @@ def query(sql: str | None = None, *views: str):
     def put(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: view(spark, sf_dir, name), lambda name: source(spark, sf_dir, name))
         if sql is not None:
-            SQL[f.__name__] = with_views(sql, *views) if views else sql
+            # a rounded value may be minus zero, which adding zero turns into zero, as rounded() does
+            SQL[f.__name__] = re.sub(r"(, \d\)) AS (z_hwe|f|score|effect|stat|dot|t|cor|effect_weight|kinship)\b", r"\1 + 0 AS \2", with_views(sql, *views) if views else sql)
         return f
 
     return put
