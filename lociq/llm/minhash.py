@@ -31,7 +31,7 @@ WORDS = 5
 PERCENT = 85  # links from 100 * intersection >= PERCENT * union
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // ROWS
-SLACK = 0.15  # an estimate this far below the threshold still asks for confirmation: about five standard deviations
+SIGMAS = 5.0  # an estimate within so many standard deviations of the threshold asks for confirmation
 BLOCK = 2048  # representatives of a key that are compared in one task
 
 BYTES = seeds(256, 41)
@@ -139,9 +139,11 @@ def estimate(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.n
 
 def _could(x, y, a, b, percent: int) -> np.ndarray:
     fits = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
-    # a handful of used registers tells too little to rule a pair out
-    used = ((x != 0) | (y != 0)).sum(axis=-1)
-    slack = SLACK + np.maximum(0, 2.0 / np.sqrt(np.maximum(used, 1)) - 2.0 / np.sqrt(REGISTERS))
+    # the least hashes of the used buckets are a sample, without replacement, of the union's shingles: the estimate's deviation at the threshold follows
+    used = np.maximum(((x != 0) | (y != 0)).sum(axis=-1), 1)
+    j = percent / 100
+    union = np.maximum((a + b) / (1 + j), 2.0)
+    slack = 0.02 + SIGMAS * np.sqrt(j * (1 - j) / used * np.maximum(union - used, 0) / (union - 1))
     return fits & (estimate(x, y, a, b) >= percent / 100 - slack)
 
 
