@@ -133,3 +133,13 @@ def release(spark: SparkSession) -> None:
 def surrogate(source: DataFrame) -> bool:
     """Whether keyed() had to number the rows."""
     return hasattr(source, "_lociq_path")
+
+
+def trim() -> None:
+    """Gives a worker's freed memory back to the system: Arrow's pool and the C heap keep it otherwise."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, buckets, keyed, mix, release, seeds, slices, text_bytes
+from .common import U64, Scratch, buckets, keyed, mix, release, seeds, slices, text_bytes, trim
 
 LENGTH = 100
 CORE = 48
@@ -228,7 +228,9 @@ def _first_pass(n_buckets: int, length: int, core: int):
             del names, place, digit, left, right
             if sum(len(x[0]) for x in held) >= FLUSH:
                 yield from flush()
+                trim()
         yield from flush()
+        trim()
 
     return run
 
@@ -244,6 +246,7 @@ def _by_bucket(settle):
                 held.setdefault(k, []).append(b.filter(pa.array(bucket == k)))
         while held:
             yield from settle(pa.Table.from_batches(held.popitem()[1])).to_batches(max_chunksize=50_000)
+            trim()
 
     return run
 
@@ -320,7 +323,9 @@ def _last_pass(n_buckets: int, length: int, core: int):
             del names, place, name, want, wanted
             if sum(len(x[0]) for x in held) >= FLUSH:
                 yield from flush()
+                trim()
         yield from flush()
+        trim()
 
     return run
 
