@@ -27,7 +27,6 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 OCTETS = rf"^{_PART}(?:\.{_PART}){{3}}$"
 
@@ -35,6 +34,7 @@ ROUNDS = 3
 SUPPORT = 8
 CONFIDENT = 0.9
 LEAST_DIGITS = 5  # of a discovered identifier without an @
+TOKEN = rf"(?<!\S)(?=[^\s@]*+@|(?:[^\s0-9]*+[0-9]){{{LEAST_DIGITS}}})\S++"
 
 _SPAN = "array<struct<start:int,end:int,match:string>>"
 _NONE = f"cast(array() as {_SPAN})"
