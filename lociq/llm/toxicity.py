@@ -2,7 +2,8 @@
 
 Two models, one per label, give each letter of a word its probability after the word's last letters. The highest order counts its
 class's text alone, with absolute discounting; what the discount frees is spread by lower orders whose continuation counts are shared by
-both classes, so a rare expression that one class has never shown falls back on what both know. A text's evidence is the difference of the
+both classes, so a rare expression that one class has never shown falls back on what both know. The n-grams of all labelled rows of the
+first part of the training fold are counted, whatever their number and length. A text's evidence is the difference of the
 log-likelihoods, normalised by its length: over the whole text, and over the words that stand out. A logistic curve fitted on a
 second part of the training fold turns the evidence into a score.
 
@@ -20,11 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, code_points, fold, fold_of, mix, seeds, slices
+from .common import U64, Scratch, code_points, fold, fold_of, mix, seeds, slices
 
-SAMPLE_ROWS = 600  # labelled rows of each class for the models, and as many for the curve
-SAMPLE_CHARS = 1_200_000  # code points of a class's sample, to the end of the row that reaches them
-LONG = 8_000  # longer rows are sampled only where no others are left
+SAMPLE_ROWS = 1500  # labelled rows of each class for the curve; the models count every row
+HELD_GRAMS = 1_000_000  # n-grams that a task adds up before it sends them
 ORDER = 6  # letters of an n-gram
 DISCOUNT = 0.75
 STANDS_OUT = 2.5  # a word's evidence in nats from which it counts as an expression
@@ -33,6 +33,8 @@ PRIOR = 0.25  # the curve's weight of the toxic class: rejecting an ordinary tex
 CONSTANTS = seeds(ORDER + 1, 8)
 
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
+_COUNTS = "hi long, lo long, ordinary long, toxic long"
+_EVIDENCE = "toxic int, h long, doc_id long, evidence array<double>"
 
 
 def letters() -> np.ndarray:
@@ -61,6 +63,15 @@ class Grams:
         self.word_at = np.flatnonzero(first)
         self.x = x.astype(np.uint64)
 
+    def packed(self) -> tuple[np.ndarray, np.ndarray]:
+        """The longest n-grams themselves: three letters of 21 bits in each of two integers, the last letter lowest."""
+        out = [np.zeros(len(self.at), dtype=np.uint64) for _ in range(2)]
+        for j in range(ORDER):
+            back = self.x[np.maximum(self.at - j, 0)]
+            back[self.depth < j] = 1  # before the word
+            out[j // 3] |= back << U64(21 * (j % 3))
+        return out[1].view(np.int64), out[0].view(np.int64)
+
     def order(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Keys of each letter with the k letters before it, and of these k alone."""
         h = self.x[self.at] * CONSTANTS[0] + U64(1)
@@ -104,19 +115,59 @@ class Table:
         return value, found
 
 
-def _sum(keys: np.ndarray, values: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    u, inverse = np.unique(keys, return_inverse=True)
-    return u, np.bincount(inverse, weights=values, minlength=len(u))
+class Counted:
+    """Distinct longest n-grams and how often each class shows them."""
+
+    def __init__(self, hi: np.ndarray, lo: np.ndarray, counts: np.ndarray) -> None:
+        self.hi, self.lo, self.counts = hi, lo, counts  # counts [n-gram, class]
+
+    @classmethod
+    def of(cls, texts: list[str], toxic: np.ndarray, lut: np.ndarray) -> Counted:
+        g = Grams(lut, texts)
+        owner = np.searchsorted(g.starts, g.at, side="right") - 1
+        counts = np.zeros((len(g.at), 2), dtype=np.int64)
+        counts[np.arange(len(g.at)), np.asarray(toxic, dtype=np.int64)[owner]] = 1
+        return cls.added([cls(*g.packed(), counts)])
+
+    @classmethod
+    def added(cls, parts: list[Counted]) -> Counted:
+        hi, lo, counts = (np.concatenate([getattr(p, c) for p in parts]) for c in ("hi", "lo", "counts"))
+        order = np.lexsort((lo, hi))
+        hi, lo, counts = hi[order], lo[order], counts[order]
+        new = np.ones(len(hi), dtype=bool)
+        new[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
+        at = np.flatnonzero(new)
+        return cls(hi[at], lo[at], np.add.reduceat(counts, at, axis=0) if len(at) else counts)
+
+    def order(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """As Grams.order, of each n-gram once."""
+        letter = lambda j: ((self.hi if j >= 3 else self.lo).view(np.uint64) >> U64(21 * (j % 3))) & U64((1 << 21) - 1)
+        c = np.zeros(len(self.hi), dtype=np.uint64)
+        for j in range(1, k + 1):
+            c += letter(j) * CONSTANTS[j]
+        return mix(letter(0) * CONSTANTS[0] + U64(1) + c + U64(k)), mix(c + U64(k))
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        t = pa.table({"hi": self.hi, "lo": self.lo, "ordinary": self.counts[:, 0], "toxic": self.counts[:, 1]})
+        yield from t.to_batches(max_chunksize=50_000)
 
 
 class Model:
     """Log-ratio tables of the two class models, and the curve."""
 
     def __init__(self, ordinary: list[str], toxic: list[str]) -> None:
+        self.learn(Counted.of(ordinary + toxic, np.repeat([0, 1], [len(ordinary), len(toxic)]), letters()))
+
+    @classmethod
+    def counted(cls, grams: Counted) -> Model:
+        m = cls.__new__(cls)
+        m.learn(grams)
+        return m
+
+    def learn(self, grams: Counted) -> None:
         self.lut = letters()
         self.curve = None
-        grams = [Grams(self.lut, x) for x in (ordinary, toxic)]
-        both = lambda k: [np.concatenate(x) for x in zip(*(g.order(k) for g in grams))]
+        both = grams.order
         # shared lower orders: continuation counts (different letters seen before), interpolated from the shortest up
         shared = None
         for k in range(ORDER - 1):
@@ -138,10 +189,7 @@ class Model:
         contexts = np.unique(ctx)
         where = np.searchsorted(contexts, ctx)
         ps, lambdas = [], []
-        for g in grams:
-            u, count = _sum(g.order(n)[0])
-            own = np.zeros(len(keys))
-            own[np.searchsorted(keys, u)] = count
+        for own in grams.counts[at].T.astype(float):
             total = np.bincount(where, weights=own, minlength=len(contexts))
             kinds = np.bincount(where, weights=own > 0, minlength=len(contexts))
             spread = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
@@ -167,8 +215,8 @@ class Model:
         np.maximum.at(top, owner, words)
         return np.stack([np.bincount(owner, weights=words, minlength=n) / count, strong / np.sqrt(count), np.log1p(np.bincount(owner[out], minlength=n)), np.minimum(top, 20) / 10, strong / count], axis=1)
 
-    def fit_curve(self, texts: list[str], toxic: np.ndarray) -> None:
-        x = np.concatenate([self.evidence(texts[i : i + 100]) for i in range(0, len(texts), 100)])
+    def fit_curve(self, x: np.ndarray, toxic: np.ndarray) -> None:
+        """x: the evidence of some texts."""
         self.mean, self.std = x.mean(axis=0), x.std(axis=0) + 1e-9
         x = np.concatenate([(x - self.mean) / self.std, np.ones((len(x), 1))], axis=1)
         w = np.zeros(x.shape[1])
@@ -189,38 +237,77 @@ class Model:
         return 1 / (1 + np.exp(-(x @ self.curve[:-1] + self.curve[-1]).clip(-500, 500)))
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, n: int) -> dict[tuple[int, int], list[str]]:
-    """Texts by (toxic, remainder of the fold): those of the ids that hash lowest, shorter than LONG where there are enough.
-
-    At most 2 * n ids of a class and remainder are drawn, from the labels alone, so the join that fetches their texts broadcasts a bounded set."""
-    marked = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic", fold(F.col("doc_id")).alias("remainder"), F.xxhash64("doc_id").alias("h")).distinct()
-    groups = [(k, r) for k in (0, 1) for r in (0, 2)]
-    drawn = [marked.where((F.col("toxic") == k) & (F.col("remainder") == r)).orderBy("h", "doc_id").limit(2 * n) for k, r in groups]
-    ids = reduce(lambda a, b: a.unionByName(b), drawn)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").collect()
-    out: dict = {g: [] for g in groups}
-    chars = dict.fromkeys(groups, 0)
-    for r in sorted(rows, key=lambda r: (len(r.text) > LONG, r.h, r.doc_id, r.text)):
-        g = (r.toxic, r.remainder)
-        if len(out[g]) < n and chars[g] < SAMPLE_CHARS:
-            out[g].append(r.text)
-            chars[g] += len(r.text)
-    return out
+def _labelled(labels: DataFrame, remainder: int) -> DataFrame:
+    return labels.where("toxic in (0, 1) and doc_id is not null").where(fold(F.col("doc_id")) == remainder).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+
+
+def _counts(docs: DataFrame, labels: DataFrame) -> Counted:
+    """The n-grams of every labelled row of remainder 0, added up in tasks and by Spark. The driver gets each distinct n-gram once."""
+    spark = docs.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lut, held, n = letters(), [], 0
+        for b in slices(batches, most=1_000_000):
+            held.append(Counted.of(b.column(0).to_pylist(), np.asarray(b.column(1)), lut))
+            n += len(held[-1].hi)
+            if n >= HELD_GRAMS:
+                held = [Counted.added(held)]
+                n = len(held[0].hi)
+                if n >= HELD_GRAMS // 2:
+                    yield from held.pop().batches()
+                    n = 0
+        if held:
+            yield from Counted.added(held).batches()
+
+    rows = docs.where("text is not null").where(fold(F.col("doc_id")) == 0).select("doc_id", "text").join(_labelled(labels, 0), "doc_id").select("text", "toxic")
+    total = rows.mapInArrow(run, _COUNTS).groupBy("hi", "lo").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    total = Scratch(spark).keep(total, "grams")
+    rows_at_once = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")  # the rows are short
+    try:
+        t = total.toArrow()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_at_once)
+    return Counted.added([Counted(t["hi"].to_numpy(), t["lo"].to_numpy(), np.stack([t["ordinary"].to_numpy(), t["toxic"].to_numpy()], axis=1))])
+
+
+def _curve_sample(docs: DataFrame, labels: DataFrame, model: Model, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Evidence and class of the labelled rows of remainder 2 whose ids hash lowest, at most n of a class, of any length. Texts stay in the executors.
+
+    At most 2 * n ids of a class are drawn, from the labels alone, so the join that fetches their texts broadcasts a bounded set."""
+    marked = _labelled(labels, 2).withColumn("h", F.xxhash64("doc_id"))
+    ids = reduce(lambda a, b: a.unionByName(b), [marked.where(F.col("toxic") == k).orderBy("h", "doc_id").limit(2 * n) for k in (0, 1)])
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, most=2_000_000):
+            x = held.value.evidence(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("h"), b.column("doc_id"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["toxic", "h", "doc_id", "evidence"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(ids.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id")
+    got = rows.select("doc_id", "text", "toxic", "h").mapInArrow(run, _EVIDENCE).collect()
+    held.unpersist()
+    got = sorted(got, key=lambda r: (r.h, r.doc_id, r.evidence))
+    some = [r for k in (0, 1) for r in [r for r in got if r.toxic == k][:n]]
+    return np.array([r.evidence for r in some]).reshape(len(some), -1), np.array([r.toxic == 1 for r in some], dtype=bool)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """Fits on a bounded sample of labelled rows: remainder 0 of the fold for the models, 2 for the curve; 1 is held out. None without both classes."""
-    texts = _sampled(docs, labels, sample_rows)
-    if not all(texts.values()):
+    """Fits the models on every labelled row of remainder 0 of the fold, the curve on `sample_rows` of each class of remainder 2; 1 is held out. None without both classes."""
+    grams = _counts(docs, labels)
+    if not grams.counts.any(axis=0).all():
+        return None
+    model = Model.counted(grams)
+    x, toxic = _curve_sample(docs, labels, model, sample_rows)
+    if not toxic.any() or toxic.all():
         return None
-    model = Model(texts[0, 0], texts[1, 0])
-    model.fit_curve(texts[0, 2] + texts[1, 2], np.array([False] * len(texts[0, 2]) + [True] * len(texts[1, 2])))
+    model.fit_curve(x, toxic)
     return model
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, score, predicted."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    held = docs.sparkSession.sparkContext.broadcast(model)  # two numbers for each distinct n-gram of the labelled rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value

@@ -231,3 +231,21 @@ def test_kneser_ney_probabilities_sum_to_one():
     m = toxicity.Model(["the cat sat", "a cat ran"], ["you idiot", "idiot cat"])
     assert len(m.seen.keys) and np.isfinite(m.seen.values).all() and np.isfinite(m.unseen.values).all()
     assert m.evidence(["idiot"])[0, 0] > m.evidence(["cat"])[0, 0]
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, docs_of):
+    """Counts over all rows are those of one model on the same texts, and an expression in one long row among many is learnt."""
+    rng = random.Random(8)
+    vocabulary = [f"{a}{b}" for a in ("gra", "pel", "mon", "tis") for b in ("ne", "lor", "va", "kim")]
+    talk = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    ids = [i for i in range(9000) if fold_of(i) == 0][:2600]
+    docs = [(i, talk(5) + (" blockhead" if k % 2 else "")) for k, i in enumerate(ids)]
+    docs.append((rare := next(i for i in range(9001, 9100) if fold_of(i) == 0), "zwyxquv " * 40 + talk(2500)))
+    curve = [i for i in range(9200, 9300) if fold_of(i) == 2]
+    docs += [(i, talk(5) + (" blockhead" if i % 2 else "")) for i in curve]
+    toxic = {i: k % 2 for k, i in enumerate(ids)} | {rare: 1} | {i: i % 2 for i in curve}
+    model = toxicity.fit(docs_of(docs), spark.createDataFrame([(i, 0, t) for i, t in toxic.items()], "doc_id long, quality int, toxic int"))
+    first = [(t, toxic[i]) for i, t in docs if fold_of(i) == 0]
+    whole = toxicity.Model(*([t for t, k in first if k == c] for c in (0, 1)))
+    assert np.array_equal(model.seen.keys, whole.seen.keys) and np.allclose(model.seen.values, whole.seen.values) and np.allclose(model.unseen.values, whole.unseen.values)
+    assert model.evidence(["zwyxquv"])[0, 3] * 10 > toxicity.STANDS_OUT
