@@ -2,10 +2,11 @@
 
 Every run of at least `SHORTEST` key characters outside the patterns' spans is tested in the encoding that its characters suggest (hex,
 base32 or base64): chi-squared uniformity over the alphabet, the number of runs about the alphabet's middle, and the correlation of
-neighbouring symbols. A run passes where the Bonferroni-combined p-value keeps uniform randomness plausible. Long runs of plain
-lower-case letters are ordinary language; over all rows, their pass rate at each length estimates how many ordinary runs of that length
-pass by chance. Runs of a length are reported only where the expected share of such false discoveries is within `FDR`: short lengths, at which
-the tests tell little, drop out by themselves.
+neighbouring symbols. A run passes where the Bonferroni-combined p-value keeps uniform randomness plausible. Whether a run that passes is more
+than chance is judged against a fixed model of ordinary runs (words, numbers and separators that follow each other, by character kinds and
+letter frequencies): the likelihood of the run under uniform draws over that under the model exceeds t in at most one of t ordinary runs,
+so its inverse is a p-value, which falls with the run's length by itself. Benjamini and Hochberg's procedure over all tested runs of the table
+sets the bound that keeps the expected share of false discoveries within `FDR`. No ordinary runs need to be in the table.
 
 Null and empty texts have no spans; repeated rows are answered alike; a null doc_id keeps its row; other columns are ignored.
 """
@@ -34,11 +35,17 @@ SHORTEST, ALPHA, FDR = 20, 0.01, 0.01
 HEX, BASE32 = set("0123456789abcdef"), set("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 
-DRAFT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start:int,kind:string,end:int>>, runs array<struct<start:int,end:int,bin:int,ordinary:boolean,passed:boolean>>"
+SEPARATORS = "+/_=-"
+# The fixed model of ordinary runs: kinds of neighbouring characters (lower, upper, digit, separator; rows sum to 1) and frequencies of letters in parts of 1000
+FOLLOWS = np.log([[0.90, 0.02, 0.02, 0.06], [0.50, 0.40, 0.04, 0.06], [0.04, 0.04, 0.80, 0.12], [0.55, 0.20, 0.20, 0.05]])
+LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", (80, 17, 32, 40, 118, 19, 20, 40, 72, 5, 10, 40, 26, 70, 72, 22, 3, 62, 64, 84, 32, 12, 17, 4, 17, 7)))
+STEPS, MOST_LEVEL = 4, 400  # p-values are e^(-level / STEPS), rounded up; lower ones than the last level's count as that
+
+DRAFT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start:int,kind:string,end:int>>, runs array<struct<start:int,end:int,level:int>>"
 _SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()),
     ("base", pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))),
-    ("runs", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("bin", pa.int32()), ("ordinary", pa.bool_()), ("passed", pa.bool_())]))),
+    ("runs", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("level", pa.int32())]))),
 ])
 
 
@@ -108,6 +115,41 @@ def randomness(token: str) -> float:
     return min(1.0, len(p) * min(p))
 
 
+def _ordinary_model() -> tuple[np.ndarray, np.ndarray]:
+    """Kind and log-probability within the kind of each ASCII character."""
+    kind, log_p = np.full(128, 3), np.full(128, -math.log(len(SEPARATORS)))
+    for c, n in LETTERS.items():
+        for k, x in enumerate((c, c.upper())):
+            kind[ord(x)], log_p[ord(x)] = k, math.log(n / sum(LETTERS.values()))
+    kind[48:58], log_p[48:58] = 2, -math.log(10)
+    return kind, log_p
+
+
+_KIND, _LOG_P = _ordinary_model()
+_ENCODINGS = [np.isin(np.arange(128), [ord(c) for c in a]) for a in (ALPHABETS["hex"], ALPHABETS["hex"].upper(), ALPHABETS["base32"], ALPHABETS["base64"], ALPHABETS["base64"][:62] + "-_")]
+
+
+def advantage(token: str) -> float:
+    """Log-likelihood of uniform draws from the encodings (each alike likely) less that of an ordinary run."""
+    x = np.frombuffer(token.rstrip("=").encode("ascii"), dtype=np.uint8)
+    if not len(x):
+        return 0.0
+    uniform = [-len(x) * math.log(e.sum()) for e in _ENCODINGS if e[x].all()]
+    if not uniform:
+        return 0.0
+    k = _KIND[x]
+    ordinary = -math.log(4) + float(FOLLOWS[k[:-1], k[1:]].sum()) + float(_LOG_P[x].sum())
+    most = max(uniform)
+    return most + math.log(sum(math.exp(u - most) for u in uniform) / len(_ENCODINGS)) - ordinary
+
+
+def level(token: str) -> int:
+    """The run's p-value under the model of ordinary runs, as a level; 0 (a p-value of 1) where the battery excludes uniform randomness."""
+    if randomness(token) < ALPHA:
+        return 0
+    return min(MOST_LEVEL, max(0, math.floor(STEPS * advantage(token))))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of `docs` with its base spans and every tested run (schema DRAFT)."""
 
@@ -133,8 +175,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     s, e = s - at, e - at
                     if not any(x < e and s < y for _, x, y in base):
                         token = text[s:e]
-                        ordinary = token.isalpha() and token[1:].islower()
-                        runs.append({"start": s, "end": e, "bin": min(e - s, 128) // 4, "ordinary": ordinary, "passed": randomness(token) >= ALPHA})
+                        runs.append({"start": s, "end": e, "level": level(token)})
                 kinds = [k for k, _, _ in base]
                 row = (doc, *(kinds.count(k) for k in range(3)), hashlib.sha256(joined.encode()).hexdigest(), [{"start": s, "kind": KINDS[k], "end": e} for k, s, e in base], runs)
                 for k, v in zip(_SCHEMA.names, row):
@@ -144,32 +185,23 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, DRAFT)
 
 
-def trusted_lengths(scanned: DataFrame, fdr: float = FDR) -> list[int]:
-    """Length bins whose expected share of false discoveries is within `fdr`; at most 33 rows reach the driver."""
-    runs = scanned.select(F.explode("runs").alias("r")).select("r.*")
-    stats = runs.groupBy("bin").agg(
-        F.count(F.when(F.col("ordinary"), 1)).alias("ordinary"),
-        F.count(F.when(F.col("ordinary") & F.col("passed"), 1)).alias("chance"),
-        F.count(F.when(~F.col("ordinary"), 1)).alias("tested"),
-        F.count(F.when(~F.col("ordinary") & F.col("passed"), 1)).alias("passed"),
-    )
-    rows = sorted(stats.collect(), key=lambda r: r.bin)
-    # a longer run is no likelier to pass by chance, so a length may use what shorter ones have shown
-    out, ordinary, chance = [], 0, 0
-    for r in rows:
-        ordinary, chance = ordinary + r.ordinary, chance + r.chance
-        if r.passed and (chance + 1) / (ordinary + 1) * r.tested <= fdr * r.passed:
-            out.append(r.bin)
+def trusted_level(scanned: DataFrame, fdr: float = FDR) -> int:
+    """The least level that Benjamini and Hochberg's procedure reports; MOST_LEVEL + 1 where it reports none. At most MOST_LEVEL + 1 rows reach the driver."""
+    count = {r.level: r["count"] for r in scanned.select(F.explode("runs").alias("r")).select("r.level").groupBy("level").count().collect()}
+    tested, found, out = sum(count.values()), 0, MOST_LEVEL + 1
+    for at in sorted(count, reverse=True):
+        found += count[at]
+        if math.exp(-at / STEPS) * tested <= fdr * found:
+            out = at
     return out
 
 
 def secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for each row of `docs`; the battery's spans are of kind `random`."""
     scanned = Scratch(docs.sparkSession).keep(scan(docs), "scanned")
-    bins = trusted_lengths(scanned, fdr)
-    trusted = F.array(*[F.lit(b) for b in bins]).cast("array<int>")
+    least = trusted_level(scanned, fdr)
     added = F.transform(
-        F.filter("runs", lambda r: r["passed"] & ~r["ordinary"] & F.array_contains(trusted, r["bin"])),
+        F.filter("runs", lambda r: r["level"] >= least),
         lambda r: F.struct(r["start"].alias("start"), F.lit("random").alias("kind"), r["end"].alias("end")),
     )
     order = lambda k: F.array_position(F.array(*[F.lit(x) for x in (*KINDS, "random")]), k)

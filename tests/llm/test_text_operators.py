@@ -148,6 +148,19 @@ def test_random_strings_are_told_from_words(docs_of):
     assert not any(rows[i] for i, _ in plain)
 
 
+@pytest.mark.parametrize("n", [1, 30, 2000])
+def test_planted_keys_are_found_in_tables_of_any_size(docs_of, n):
+    rng = random.Random(n)
+    draw = lambda alphabet, size: "".join(rng.choice(alphabet) for _ in range(size))
+    keys = [draw(secrets.ALPHABETS["base64"][:62], 40), draw(secrets.ALPHABETS["base64"][:62] + "-_", 32), draw(secrets.ALPHABETS["base32"], 32)]
+    words = ["weather", "report", "archive", "images", "Index", "user", "profile", "2019", "summer", "content", "uploads"]
+    plain = [(i, " ".join([rng.choice("/-_").join(rng.choice(words) for _ in range(5)), "".join(rng.choice(words) for _ in range(5)).lower(), "see " + "-".join(rng.choice(words) for _ in range(4))])) for i in range(n)]
+    rows = {r.doc_id: r.spans for r in secrets.secrets(docs_of(plain + [(10_000 + i, f"see {k} there") for i, k in enumerate(keys)])).collect()}
+    assert [rows[10_000 + i] for i in range(3)] == [f"random:4:{4 + len(k)}" for k in keys]
+    assert not any(rows[i] for i in range(n))
+    assert np.allclose(np.exp(secrets.FOLLOWS).sum(axis=1), 1) and abs(sum(np.exp(secrets._LOG_P[ord(c)]) for c in secrets.LETTERS) - 1) < 1e-9
+
+
 # ---- pieces
 
 
