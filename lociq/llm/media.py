@@ -2,7 +2,10 @@
 
 A recording (a binary column of 16-bit mono WAV) becomes frames of twelve pitch-class energies. An integral image over these frames gives the sum over any
 rectangle in four look-ups, and sixteen rectangle filters, each quantised to two Gray-coded bits, are packed into one 32-bit integer a frame. Recordings are
-aligned by the histogram of offsets at which they share `RUN` integers in a row; the share of differing bits at the most frequent offset says whether they match.
+aligned at the offset with the least share of differing bits, of all offsets at which half of the shorter one meets the other; that share says whether they match.
+
+Every query is compared with every distinct fingerprint, so no match is missed: the differing bits at all offsets follow from one cross-correlation of
+32 channels of signs. Queries go out in rounds of bounded size, and each round is one pass over the fingerprints.
 
 Recordings with equal fingerprints are a class and are looked up once. A null, unreadable, silent or too short recording has an empty fingerprint and matches
 nothing. Where ids repeat, each row counts; a null id is never a query. Ties go to the lower bit error, then the smaller id.
@@ -16,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +27,10 @@ from .common import Scratch
 
 RATE, FRAME, HOP = 4000, 1024, 256
 LOWEST, HIGHEST = 55.0, 1760.0
-RUN = 2
+SHORTEST = 2  # integers of a fingerprint that takes part
+ROUND = 1 << 24  # bytes of query fingerprints that tasks hold at once
+TARGETS = 1024  # fingerprints that a task compares with them at once
+CELLS = 1 << 19  # values of a block of spectra
 MOST_ERROR = 0.2
 QUERY_STRIDE = 50
 
@@ -121,23 +128,6 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
     return recordings.mapInArrow(run, "id long, fingerprint binary")
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, fingerprint) -> one row for each distinct run of integers, with its first place."""
-    for b in batches:
-        out_c, out_k, out_p = [], [], []
-        for c, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            x = np.frombuffer(f, dtype="<u4").astype(np.int64)
-            k = x[: len(x) - RUN + 1].copy()
-            for i in range(1, RUN):
-                k = (k << 32) ^ x[i : len(x) - RUN + 1 + i]
-            k, at = np.unique(k, return_index=True)
-            out_c.append(np.full(len(k), c))
-            out_k.append(k)
-            out_p.append(at)
-        cat = lambda v: np.concatenate(v).astype(np.int64) if v else np.zeros(0, dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(cat(out_c)), pa.array(cat(out_k)), pa.array(cat(out_p))], names=["class", "run", "place"])
-
-
 def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> float:
     """Share of differing bits where a[i + offset] meets b[i]; 1 where fewer than half of the shorter one meets."""
     lo, hi = max(0, -offset), min(len(b), len(a) - offset)
@@ -146,10 +136,72 @@ def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> float:
     return float(np.bitwise_count(a[lo + offset : hi + offset] ^ b[lo:hi]).mean() / 32)
 
 
-def _errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        got = [bit_error(np.frombuffer(x, dtype="<u4"), np.frombuffer(y, dtype="<u4"), o) for x, y, o in zip(b.column("fa").to_pylist(), b.column("fb").to_pylist(), b.column("offset").to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("offset"), pa.array(got, pa.float64())], names=["a", "b", "offset", "error"])
+def _spectra(prints: list[np.ndarray], n: int) -> np.ndarray:
+    """[frequency, fingerprint, bit]: spectra of the bits as signs, padded to n."""
+    x = np.zeros((len(prints), 32, n), dtype=np.float32 if n <= 4096 else np.float64)
+    for row, p in zip(x, prints):
+        row[:, : len(p)] = (((p[None, :] >> np.arange(32, dtype=np.uint32)[:, None]) & np.uint32(1)).astype(np.int8) * 2 - 1)
+    return np.fft.rfft(x, axis=2).transpose(2, 0, 1)
+
+
+def _by_size(prints: list[np.ndarray]) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = {}
+    for i, p in enumerate(prints):
+        out.setdefault(1 << max(1, (len(p) - 1).bit_length()), []).append(i)
+    return out
+
+
+def best_matches(a: list[np.ndarray], b: list[np.ndarray], most_error: float = MOST_ERROR) -> Iterator[tuple[int, int, int, float]]:
+    """(i, j, offset, error) of all pairs of a and b whose least bit error is within `most_error`; ties go to the shorter offset, then the smaller."""
+    for size_a, all_a in _by_size(a).items():
+        for size_b, all_b in _by_size(b).items():
+            n = 2 * max(size_a, size_b)  # at least the sum of any two lengths
+            offsets = np.array(sorted(range(1 - size_b, size_a), key=lambda o: (abs(o), o)))
+            width = max(1, min(int(np.sqrt(CELLS // n)), 256))
+            for s in range(0, len(all_a), width):
+                rows = all_a[s : s + width]
+                fa = _spectra([a[i] for i in rows], n)
+                for t in range(0, len(all_b), width):
+                    cols = all_b[t : t + width]
+                    agree = np.fft.irfft(fa @ _spectra([b[j] for j in cols], n).conj().transpose(0, 2, 1), n, axis=0)  # equal less differing bits [offset, row, column]
+                    la, lb = (np.array([len(x[i]) for i in at]) for x, at in ((a, rows), (b, cols)))
+                    lengths = (la[:1, None], lb[None, :1]) if len(set(la)) == len(set(lb)) == 1 else (la[:, None], lb[None, :])
+                    o = np.arange(n)
+                    o = np.where(o < size_a, o, o - n)[:, None, None]
+                    meet = np.minimum(lengths[1], lengths[0] - o) - np.maximum(0, -o)
+                    least = np.where(meet >= np.maximum(1, np.minimum(*lengths) // 2), (1 - 2 * most_error) * 32 * meet - 0.5, np.inf).astype(agree.dtype)
+                    for i, j in np.argwhere((agree >= least).any(axis=0)).tolist():
+                        meet = np.minimum(lb[j], la[i] - offsets) - np.maximum(0, -offsets)
+                        ok = meet >= max(1, min(la[i], lb[j]) // 2)
+                        error = (32 * meet[ok] - np.rint(agree[offsets[ok], i, j]).astype(np.int64)) // 2 / (32 * meet[ok])
+                        k = int(np.argmin(error))
+                        if error[k] <= most_error:
+                            yield rows[i], cols[j], int(offsets[ok][k]), float(error[k])
+
+
+def _matches(queries: Broadcast, most_error: float):
+    """(key, fingerprint) -> pairs of a query and another fingerprint that match."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = lambda f: np.frombuffer(f, dtype="<u4")
+        qk, qf = [k for k, _ in queries.value], [numbers(f) for _, f in queries.value]
+
+        def compare(keys: list[int], prints: list[np.ndarray]) -> pa.RecordBatch:
+            rows = [(qk[i], keys[j], o, e) for i, j, o, e in best_matches(qf, prints, most_error) if qk[i] != keys[j]]
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "offset", "error"])
+
+        keys: list[int] = []
+        prints: list[np.ndarray] = []
+        for batch in batches:
+            keys += batch.column(0).to_pylist()
+            prints += [numbers(f) for f in batch.column(1).to_pylist()]
+            if len(keys) >= TARGETS:
+                yield compare(keys, prints)
+                keys, prints = [], []
+        if keys:
+            yield compare(keys, prints)
+
+    return run
 
 
 def align(prints: DataFrame, stride: int = QUERY_STRIDE, most_error: float = MOST_ERROR) -> DataFrame:
@@ -157,16 +209,20 @@ def align(prints: DataFrame, stride: int = QUERY_STRIDE, most_error: float = MOS
     at the best offset), best_id, best_offset, best_error."""
     scratch = Scratch(prints.sparkSession)
     prints = scratch.keep(prints, "fingerprints")
+    spark = prints.sparkSession
     query = F.col("id").isNotNull() & (F.col("id") % stride == 0)
-    classes = scratch.keep(prints.where(F.length("fingerprint") >= 4 * RUN).groupBy("fingerprint").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("weight"), F.max(query).alias("asked")), "classes")
-    runs = scratch.keep(classes.select("class", "fingerprint").mapInArrow(_keys, "class long, run long, place long").join(classes.select("class", "asked"), "class"), "runs")
-    hits = runs.where("asked").select(F.col("class").alias("a"), "run", F.col("place").alias("pa")).join(runs.select(F.col("class").alias("b"), "run", F.col("place").alias("pb")), "run").where("a <> b")
-    histogram = hits.groupBy("a", "b", (F.col("pa") - F.col("pb")).alias("offset")).agg(F.count(F.lit(1)).alias("hits"))
-    likeliest = histogram.groupBy("a", "b").agg(F.max_by("offset", F.struct("hits", -F.abs("offset"), "offset")).alias("offset"))
-    side = lambda x: classes.select(F.col("class").alias(x), F.col("fingerprint").alias(f"f{x}"))
-    matched = likeliest.join(side("a"), "a").join(side("b"), "b").mapInArrow(_errors, "a long, b long, offset long, error double").where(F.col("error") <= most_error)
-    found = matched.join(classes.select(F.col("class").alias("b"), "weight"), "b").groupBy("a").agg(F.sum("weight").alias("others"), F.min(F.struct("error", "b", "offset")).alias("best"))
-    asked = prints.where(query).join(classes.select("fingerprint", "class", "weight"), "fingerprint", "left").join(found.withColumnRenamed("a", "class"), "class", "left")
+    grouped = prints.where(F.length("fingerprint") >= 4 * SHORTEST).groupBy("fingerprint").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("weight"), F.max(query).alias("asked"))
+    classes = scratch.keep(grouped.withColumn("key", F.monotonically_increasing_id()), "classes")
+    rounds = -(-(classes.where("asked").agg(F.sum(F.length("fingerprint"))).first()[0] or 0) // ROUND)
+    matched = spark.createDataFrame([], "a long, b long, offset long, error double")
+    for r in range(rounds):
+        asked = classes.where("asked").where(F.pmod(F.xxhash64("key"), F.lit(rounds)) == r).select("key", "fingerprint").collect()
+        held = spark.sparkContext.broadcast([(x.key, bytes(x.fingerprint)) for x in asked])  # about ROUND bytes
+        matched = matched.unionByName(scratch.keep(classes.select("key", "fingerprint").mapInArrow(_matches(held, most_error), "a long, b long, offset long, error double"), "matched"))
+        held.unpersist()
+    best = F.min(F.struct("error", F.col("class").isNull().alias("nameless"), F.col("class").alias("b"), "offset")).alias("best")
+    found = matched.join(classes.select(F.col("key").alias("b"), "class", "weight"), "b").groupBy("a").agg(F.sum("weight").alias("others"), best)
+    asked = prints.where(query).join(classes.select("fingerprint", "key", "class", "weight"), "fingerprint", "left").join(found.withColumnRenamed("a", "key"), "key", "left")
     own = F.coalesce(F.col("weight") - 1, F.lit(0))
     twin = (own > 0) & (F.col("id") != F.col("class"))  # the class's least id, unless that is the query itself
     return asked.select(

@@ -198,6 +198,37 @@ def test_recordings_align_at_their_offset(spark):
     assert media.align(media.fingerprints(spark.createDataFrame([], "id long, audio binary"))).count() == 0
 
 
+def brute_matches(prints, query):
+    out = []
+    for i, (_, b) in enumerate(prints):
+        if i != query:
+            a = prints[query][1]
+            out.append(min((media.bit_error(a, b, o), abs(o), o) for o in range(1 - len(b), len(a))))
+    return [x for x in out if x[0] <= media.MOST_ERROR]
+
+
+def noisy(rng, x, share):
+    return x ^ np.packbits(rng.random((len(x), 32)) < share, axis=1).view(np.uint32).ravel()
+
+
+def check_matches(spark, prints):
+    rows = {r.id: r for r in media.align(spark.createDataFrame([(i, x.astype("<u4").tobytes()) for i, x in prints], "id long, fingerprint binary").repartition(3)).collect()}
+    for k, (i, _) in enumerate(prints):
+        if i % media.QUERY_STRIDE == 0:
+            want = brute_matches(prints, k)
+            assert (rows[i].n_matches, rows[i].best_error) == (len(want), min(want)[0] if want else None), i
+
+
+def test_noisy_recordings_match_as_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    prints = []
+    for g in range(8):
+        x = rng.integers(0, 2**32, rng.integers(30, 70), dtype=np.uint32)
+        prints += [(len(prints) * 10, x)] + [(len(prints) * 10 + 1 + k, noisy(rng, x[k * 4 :], e)) for k, e in enumerate((0.05, 0.1, 0.15, 0.18))]
+    prints += [(5000 + k, rng.integers(0, 2**32, n, dtype=np.uint32)) for k, n in enumerate((2, 3, 200))]
+    check_matches(spark, prints)
+
+
 def test_pipeline_on_its_own_rules(spark):
     """Each stage's rows follow from the stage before by the brute-force rules."""
     d = "/root/testdata/sf0.001"
