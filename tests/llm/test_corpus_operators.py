@@ -229,6 +229,17 @@ def test_noisy_recordings_match_as_by_brute_force(spark):
     check_matches(spark, prints)
 
 
+def test_clips_of_loops_match_at_their_true_offset(spark):
+    """A clip from a later repetition, and the loop's runs at many offsets before it."""
+    rng = np.random.default_rng(11)
+    prints = []
+    for g in range(6):
+        loop, bridge = (rng.integers(0, 2**32, n, dtype=np.uint32) for n in (4, 30))
+        whole = np.concatenate([np.tile(loop, 6), bridge, np.tile(loop, 6)])
+        prints += [(100 * g, whole), (100 * g + 1, noisy(rng, whole[44:], 0.08)), (100 * g + 2, np.concatenate([np.tile(loop, 3), rng.integers(0, 2**32, 20, dtype=np.uint32)]))]
+    check_matches(spark, prints)
+
+
 def test_pipeline_on_its_own_rules(spark):
     """Each stage's rows follow from the stage before by the brute-force rules."""
     d = "/root/testdata/sf0.001"
