@@ -171,8 +171,8 @@ def _unpack(t: pa.Table) -> tuple[np.ndarray, ...]:
     return tuple(np.frombuffer(b"".join(x.as_py() for x in t.column(c)), dtype=d) for c, d in (("a", np.uint32), ("b", np.uint64), ("key", np.int64), ("at", np.int32)))
 
 
-def _intervals(key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Intervals of the same key that touch, joined."""
+def _intervals(key: np.ndarray, start: np.ndarray, stop: np.ndarray, overlap: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals of the same key that overlap by at least `overlap`, joined; at 0 those that touch, too."""
     if not len(key):
         return key, start, stop
     order = np.lexsort((start, key))
@@ -181,7 +181,7 @@ def _intervals(key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np
     base = rank * (1 << 33)
     reach = np.maximum.accumulate(stop + base)
     first = np.ones(len(key), dtype=bool)
-    first[1:] = start[1:] + base[1:] > reach[:-1]
+    first[1:] = start[1:] + base[1:] > reach[:-1] - overlap
     lead = np.flatnonzero(first)
     last = np.concatenate([lead[1:] - 1, [len(key) - 1]])
     return key[lead], start[lead], reach[last] - base[last]
@@ -205,9 +205,10 @@ def _first_pass(n_buckets: int, length: int, core: int):
             order = np.lexsort((at, key, name, digit))
             digit, name, key, at, left, right = (x[order] for x in (digit, name, key, at, left, right))
             first = _new(digit, name)
-            # repeats within the task: whole neighbourhoods, told as intervals in the columns key, a (start) and at (stop)
+            # repeats within the task: whole neighbourhoods, told as intervals in the columns key, a (start) and at (stop). Pass 3 leaves out every window
+            # inside one, so they are joined only where each window of the union lies in one of them
             late = ~first & _later(first, key, at)
-            k, s, e = _intervals(key[late], at[late] - left[late], at[late] + right[late])
+            k, s, e = _intervals(key[late], at[late] - left[late], at[late] + right[late], length - 1)
             digit, name, key, at = (x[first] for x in (digit, name, key, at))
             group = np.cumsum(_new(digit)) - 1
             hot = np.bincount(group, minlength=1)[group] > HOT if len(group) else np.zeros(0, dtype=bool)

@@ -62,6 +62,23 @@ def test_repeats_take_odd_rows(docs_of, odd_rows):
     assert suffixes.digest(docs_of([])).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_windows_across_joined_repeats_are_found(docs_of, seed):
+    """XY and YZ make all of XYZ but its windows across Y's edges a repeat; a later xYz repeats those."""
+    rng = random.Random(seed)
+    draw = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    texts = []
+    for y in (50, 60, 70, 80, 90, 97):
+        for _ in range(4):
+            a, b, c = draw(150), draw(y), draw(150)
+            x, z = a[-((110 - y) // 2 + 2) :], c[: (110 - y) // 2 + 2]
+            texts += [a + b, b + c, a + b + c, draw(130) + x + b + z + draw(130)]
+    order = [i for k in range(4) for i in range(k, len(texts), 4)]  # all XY, all YZ, all XYZ, all xYz
+    texts = [texts[i] for i in order]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.digest(docs_of(list(enumerate(texts))).coalesce(1)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_repeats([t.encode() for t in texts], 100)
+
+
 def shingle_set(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
