@@ -253,9 +253,13 @@ def _confirm(pairs: DataFrame, texts: DataFrame, percent: int, words: int, scrat
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of `docs`."""
-    spark = docs.sparkSession
+    return _near_duplicates(keyed(docs), percent, words)
+
+
+def _near_duplicates(source: DataFrame, percent: int, words: int) -> DataFrame:
+    """The same of a keyed table, and its key."""
+    spark = source.sparkSession
     scratch = Scratch(spark)
-    source = keyed(docs)
     texts = source.select("key", "text")
     sketched = scratch.keep(texts.mapInArrow(_sketches(words), _SKETCH), "sketches")
     classes = sketched.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("key").alias("rep"))
@@ -293,12 +297,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     return named.select("doc_id", "n_shingles", "component_id", (F.col("key") == F.col("component")).alias("kept"), "key")
 
 
-
 def one_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """The rows of `docs` that stand for their group: the least of each component, and every row without a partner."""
-    kept = near_duplicates(docs, percent, words).where("kept")
-    source = keyed(docs)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    source = keyed(docs, *others)  # the one numbering for sketches and for the rows that stay
+    kept = _near_duplicates(source, percent, words).where("kept")
     if not surrogate(source):
         return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    whole = keyed(docs, *(others := [c for c in docs.columns if c not in ("doc_id", "text")]))
-    return whole.join(kept.select("key"), "key", "left_semi").drop("key").withColumnsRenamed({f"keep_{i}": c for i, c in enumerate(others)}).select(docs.columns)
+    return source.join(kept.select("key"), "key", "left_semi").drop("key").withColumnsRenamed({f"keep_{i}": c for i, c in enumerate(others)}).select(docs.columns)

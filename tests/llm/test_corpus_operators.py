@@ -134,6 +134,19 @@ def test_near_duplicates_take_odd_rows(docs_of, odd_rows):
     assert minhash.near_duplicates(docs_of([])).count() == 0
 
 
+def test_one_of_each_keeps_its_rows_in_a_numbered_table(spark, docs_of):
+    """Repeated ids and more rows than the sample from which a sort takes its bounds: each text stays once, in its own row."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(10**6)) for _ in range(rng.choice([8, 30]))) for _ in range(3000)]
+    docs = [(i % 2000, t) for i, t in enumerate(texts)] + [(i % 2000, t) for i, t in enumerate(texts[:1000])]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = minhash.one_of_each(docs_of(docs).repartition(6)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(r.text for r in rows) == sorted(texts)
+
+
 def test_register_collisions_are_corrected():
     rng = np.random.default_rng(1)
     h = np.sort(rng.integers(0, 2**63, 4000, dtype=np.uint64) * np.uint64(2))
