@@ -7,9 +7,12 @@ linked are confirmed on full shingle sets of their whole texts.
 
 Documents with equal sets form a class first, and one stands for it. Representatives that meet under keys are confirmed each against one of the keys'
 least ones, that with which it shares most keys; the components of these links leave little. Then only keys under which several components meet are
-looked at again, and there every pair of different components is estimated, in blocks, so that no link between components is lost;
-inside a component more links change nothing. A band misses a pair at the threshold with probability 1 - 0.85^4; all 32 together miss it once in
-10^10.
+looked at again: there every pair of different components is estimated, in blocks of bounded bytes, and a representative that has a possible partner
+is marked. Marked ones come back to their block with their texts, are confirmed there on full sets, and a spanning forest of the links leaves the
+task, so that what goes on never exceeds the rows, no link between components is lost, and more links inside a component change nothing. A band misses
+a pair at the threshold with probability 1 - 0.85^4; all 32 together miss it once in 10^10.
+
+Texts are hashed in segments, so a very long one needs memory for its own shingles only.
 
 Nulls, empty texts and texts without words have an empty set and link with nothing. A text with fewer words than a shingle has one shingle, all of it.
 Rows are documents of their own where doc_ids repeat or are null (ordered by doc_id with nulls last, then text). Other columns are ignored.
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, keyed, mix, release, seeds, slices, surrogate
+from .common import U64, Scratch, keyed, mix, release, seeds, slices, surrogate, trim
 from .components import components
 
 WORDS = 5
@@ -32,7 +35,10 @@ PERCENT = 85  # links from 100 * intersection >= PERCENT * union
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // ROWS
 SIGMAS = 5.0  # an estimate within so many standard deviations of the threshold asks for confirmation
-BLOCK = 2048  # representatives of a key that are compared in one task
+BLOCK = 2048  # representatives of a key that are compared in one task, as far as their sets
+HEAVY = 1 << 20  # hold so many shingles at most
+LEAVES = 1024  # representatives that are confirmed against one in a task
+SEGMENT = 1 << 20  # bytes of texts that are hashed at once
 
 BYTES = seeds(256, 41)
 BASE = int(seeds(1, 42)[0])
@@ -57,16 +63,28 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 
 
-def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of some texts, sorted and distinct within each, and each hash's text."""
-    raw = b"\n".join(texts) + b"\n"
-    x = np.frombuffer(raw, dtype=np.uint8)
-    n = len(x)
+def _words(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word of some bytes that end with white space."""
     space = _SPACE[x]
     before = np.concatenate([[True], space[:-1]])
     start, stop = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
-    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(BYTES[_LOWER[x]] * _power(BASE, n))])
-    word = mix((total[stop] - total[start]) * _power(INVERSE, n + 1)[start] + (stop - start).astype(np.uint64))
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(BYTES[_LOWER[x]] * _power(BASE, len(x)))])
+    return mix((total[stop] - total[start]) * _power(INVERSE, len(x) + 1)[start] + (stop - start).astype(np.uint64)), start
+
+
+def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of some texts, sorted and distinct within each, and each hash's text."""
+    x = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    parts, at = [], 0
+    while at < len(x):  # segments end with white space
+        stop = at + SEGMENT
+        while stop < len(x) and not _SPACE[x[stop - 1]]:
+            more = np.flatnonzero(_SPACE[x[stop : stop + SEGMENT]])
+            stop = stop + int(more[0]) + 1 if len(more) else stop + SEGMENT
+        h, begin = _words(x[at:stop])
+        parts.append((h, begin + at))
+        at = stop
+    word, start = (np.concatenate(v) for v in zip(*parts))
     begin = np.cumsum([0] + [len(t) + 1 for t in texts])
     owner = np.searchsorted(begin, start, side="right") - 1
     count = np.bincount(owner, minlength=len(texts))
@@ -137,14 +155,16 @@ def estimate(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.n
     return (same - c) / (1 - c)
 
 
+def _slack(used: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """How far below the threshold an estimate may lie. The least hashes of the used buckets are a sample, without replacement, of the union's shingles: the deviation at the threshold follows."""
+    j = percent / 100
+    union = np.maximum(sizes / (1 + j), 2.0)
+    return 0.02 + SIGMAS * np.sqrt(j * (1 - j) / np.maximum(used, 1) * np.maximum(union - used, 0) / (union - 1))
+
+
 def _could(x, y, a, b, percent: int) -> np.ndarray:
     fits = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
-    # the least hashes of the used buckets are a sample, without replacement, of the union's shingles: the estimate's deviation at the threshold follows
-    used = np.maximum(((x != 0) | (y != 0)).sum(axis=-1), 1)
-    j = percent / 100
-    union = np.maximum((a + b) / (1 + j), 2.0)
-    slack = 0.02 + SIGMAS * np.sqrt(j * (1 - j) / used * np.maximum(union - used, 0) / (union - 1))
-    return fits & (estimate(x, y, a, b) >= percent / 100 - slack)
+    return fits & (estimate(x, y, a, b) >= percent / 100 - _slack(((x != 0) | (y != 0)).sum(axis=-1), a + b, percent))
 
 
 _SKETCH = "key long, n_shingles long, set_a long, set_b long, registers binary, bands array<long>"
@@ -181,74 +201,162 @@ def _registers(col: pa.Array) -> np.ndarray:
 
 
 def _estimated(percent: int):
-    """(a, b, sizes and registers of both) -> (a, b) of pairs that could be linked."""
+    """(a, b, sizes and registers of both) -> (a, b, size of a) of pairs that could be linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x, y = _registers(b.column("ra")), _registers(b.column("rb"))
                 na, nb = (np.asarray(b.column(c)).astype(float) for c in ("na", "nb"))
-                ok = _could(x, y, na, nb, percent)
-                yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], names=["a", "b"])
+                ok = pa.array(_could(x, y, na, nb, percent))
+                yield pa.RecordBatch.from_arrays([b.column(c).filter(ok) for c in ("a", "b", "na")], names=["a", "b", "na"])
 
     return run
 
 
-def _confirmed(percent: int, words: int):
-    """(a, b, texts of both) -> (a, b) of pairs whose full sets are similar enough."""
+_CELL = ("band", "i", "j")
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole cells (rows of equal band, i and j, which follow each other), some small ones at once."""
+    held: list[pa.Table] = []
+    n = weight = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        c = [np.asarray(b.column(k)) for k in _CELL]
+        edge = np.flatnonzero(np.logical_or.reduce([v[1:] != v[:-1] for v in c]))
+        ends = held and any(held[-1].column(k)[-1].as_py() != v[0] for k, v in zip(_CELL, c))
+        if (n >= BLOCK or weight >= HEAVY) and (ends or len(edge)):
+            cut = 0 if ends else int(edge[0]) + 1
+            yield pa.concat_tables([*held, t.slice(0, cut)])
+            held, n, weight, t = [], 0, 0, t.slice(cut)
+        held.append(t)
+        n += t.num_rows
+        weight += int(np.asarray(t.column("n")).sum())
+    if held:
+        yield pa.concat_tables(held)
+
+
+def _candidates(cell, side, label, same_side, size, r, percent: int, most: int = 400_000):
+    """Lists of places (x, y) in one cell that could be linked: of rows sorted by cell, each is held against the row 1, 2, ... further on. Labels may change meanwhile."""
+    n = len(cell)
+    end = np.searchsorted(cell, cell, side="right")
+    used = np.packbits(r != 0, axis=1)
+    x, held, count = np.arange(n), [], 0
+    for d in range(1, n):
+        x = x[end[x] > x + d]
+        if not len(x):
+            break
+        y = x + d
+        ok = (label[x] != label[y]) & (same_side[x] | (side[x] != side[y])) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
+        for s in range(0, int(ok.sum()), 1 << 14):
+            a = x[ok][s : s + (1 << 14)]
+            b = a + d
+            alike, either = ((r[a] == r[b]) & (r[a] != 0)).sum(axis=1), np.bitwise_count(used[a] | used[b]).sum(axis=1, dtype=np.int64)
+            a = a[alike >= (percent / 100 - _slack(either, size[a] + size[b], percent)) * either]  # an estimate is never above this share: chance agreement only lowers it
+            a = a[_could(r[a], r[a + d], size[a], size[a + d], percent)]
+            if len(a):
+                held.append((a, a + d))
+                count += len(a)
+        if count >= most:
+            yield tuple(np.concatenate(v) for v in zip(*held))
+            held, count = [], 0
+    if held:
+        yield tuple(np.concatenate(v) for v in zip(*held))
+
+
+def _places(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """cell, side, label and whether a cell's rows of one side meet: rows of a table of whole cells."""
+    c = [np.asarray(t.column(k)) for k in _CELL]
+    cell = np.concatenate([[0], np.cumsum(np.logical_or.reduce([v[1:] != v[:-1] for v in c]))])
+    _, label = np.unique(np.stack([cell, np.asarray(t.column("component"))]), axis=1, return_inverse=True)
+    return cell, np.asarray(t.column("block")), label.ravel(), c[1] == c[2]
+
+
+def _marked(percent: int):
+    """Rows of representatives in cells -> (band, i, j, block, key) of those that could be linked with one of another component there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(slices(batches, "ta", 1 << 20), "tb", 1 << 20):
-            n = b.num_rows
-            h, owner = shingles(_raw(b.column("ta").to_pylist()) + _raw(b.column("tb").to_pylist()), words)
-            size = np.bincount(owner, minlength=2 * n)
-            pair = owner % n
-            order = np.lexsort((h, pair))
-            both = (h[order][1:] == h[order][:-1]) & (pair[order][1:] == pair[order][:-1])
-            common = np.bincount(pair[order][1:][both], minlength=n)
-            ok = pa.array((100 * common >= percent * (size[:n] + size[n:] - common)) & (common > 0))
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
+        for t in _cells(batches):
+            cell, side, label, same_side = _places(t)
+            r, size = _registers(t.column("registers")), np.asarray(t.column("n")).astype(float)
+            names, full = bands(r)
+            names = np.where(full, names, -np.arange(len(names))[:, None])
+            here = np.argmax(names == np.asarray(t.column("band"))[:, None], axis=1)
+            good = np.zeros(len(cell), dtype=bool)
+            for x, y in _candidates(cell, side, label, same_side, size, r, percent):
+                for s in range(0, len(x), 1 << 16):
+                    a, b = x[s : s + (1 << 16)], y[s : s + (1 << 16)]
+                    first = np.argmax(names[a] == names[b], axis=1) == here[a]  # a pair is looked at under its first common key only
+                    good[a[first]] = good[b[first]] = True
+            yield from t.filter(pa.array(good)).select(_MARKED).to_batches()
 
     return run
 
 
-def _crossing(percent: int):
-    """All representatives in two blocks of one key -> pairs of different components that could be linked."""
-
-    def run(t: pa.Table) -> pa.Table:
-        key, block = (np.asarray(t.column(c)) for c in ("key", "block"))
-        label, size = np.asarray(t.column("component")), np.asarray(t.column("n")).astype(float)
-        r = _registers(t.column("registers").combine_chunks() if t.num_rows else t.column("registers"))
-        names, used = bands(r)
-        names = np.where(used, names, np.arange(len(names))[:, None])  # registers that are all empty are no key
-        here = int(np.flatnonzero(names[0] == t.column("band")[0].as_py())[0])
-        i, j = int(t.column("i")[0].as_py()), int(t.column("j")[0].as_py())
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        # the largest component need not meet itself; rows of all others meet every row
-        out_a, out_b = [], []
-        for x in left:
-            y = right[right > x] if i == j else right
-            y = y[(label[y] != label[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
-            for s in range(0, len(y), 4096):
-                z = y[s : s + 4096]
-                z = z[~(names[z, :here] == names[x, :here]).any(axis=1)]  # a pair is looked at under its first common key only
-                z = z[_could(r[z], r[x][None, :], size[z], size[x], percent)]
-                out_a.append(np.full(len(z), key[x]))
-                out_b.append(key[z])
-        a, b = (np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (out_a, out_b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+_MARKED = ["band", "i", "j", "block", "key", "component", "n"]
+
+
+def _forest(percent: int, words: int):
+    """Rows of cells with their texts -> (a, b): links, confirmed on full sets, that join the components of each cell as far as any links do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _cells(batches):
+            cell, side, label, same_side = _places(t)
+            key = np.asarray(t.column("key"))
+            texts = _raw(t.column("text").to_pylist())
+            t = None
+            h, owner = shingles(texts, words)
+            texts = None
+            size = np.bincount(owner, minlength=len(key))
+            edge = np.concatenate([[0], np.cumsum(size)])
+            r = sketch(h, owner, len(key))
+            names = np.unique(h, return_inverse=True)[1]
+            here = np.zeros(len(h), dtype=bool)
+            out = []
+            for x, y in _candidates(cell, side, label, same_side, size.astype(float), r, percent):
+                order = np.argsort(x, kind="stable")
+                x, y = x[order], y[order]
+                cuts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+                for s, e in zip(cuts, [*cuts[1:], len(x)]):
+                    a, others = x[s], y[s:e]
+                    mine = names[edge[a] : edge[a + 1]]
+                    here[mine] = True
+                    others = others[label[others] != label[a]]
+                    for at in range(0, len(others), 1024):
+                        b = others[at : at + 1024]
+                        n = size[b]
+                        each = np.repeat(edge[b] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                        common = np.add.reduceat(here[names[each]].astype(np.int64), np.concatenate([[0], np.cumsum(n)[:-1]])) if len(b) else n
+                        for c in b[100 * common >= percent * (n + size[a] - common)].tolist():
+                            if label[c] != label[a]:
+                                out.append((key[a], key[c]))
+                                label[label == label[c]] = label[a]
+                    here[mine] = False
+            a, b = np.array(out, dtype=np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            trim()
 
     return run
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, percent: int, words: int, scratch: Scratch) -> DataFrame:
-    """Links among `pairs` (a, b), confirmed on whole texts. The texts of pairs' members are shuffled, no others."""
-    members = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    some = scratch.keep(texts.join(members.hint("merge"), "key", "left_semi"), "texts")  # alike at every size: no broadcast of what grows
-    side = lambda x: some.select(F.col("key").alias(x), F.col("text").alias(f"t{x}"))
-    links = scratch.keep(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_confirmed(percent, words), "a long, b long"), "links")
-    scratch.drop(some)
-    return links
+def _by_cell(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*_CELL).sortWithinPartitions(*_CELL, "block", "key")
+
+
+def _links(cells: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
+    """Links between rows of cells. Each row fetches its text once for each of its cells; the join is alike at every size, with no broadcast of what grows."""
+    return _by_cell(cells.hint("merge").join(texts, "key")).mapInArrow(_forest(percent, words), "a long, b long")
+
+
+def _stars(best: DataFrame) -> DataFrame:
+    """Cells of pairs (a, b, size of a): b and so many of its partners as one task confirms."""
+    wide = best.groupBy("b").agg(F.greatest(F.ceil(F.count(F.lit(1)) / LEAVES), F.ceil(F.sum("na") / HEAVY)).cast("int").alias("salts"))
+    leaves = best.join(wide, "b").select(F.col("b").alias("band"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("i"), F.lit(1).alias("block"), F.col("a").alias("key"), F.col("na").alias("n"))
+    centres = wide.select(F.col("b").alias("band"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("i"), F.lit(0).alias("block"), F.col("b").alias("key"), F.lit(0).cast("long").alias("n"))
+    return leaves.unionByName(centres).withColumn("j", F.lit(-1)).withColumn("component", F.col("key")).select(_MARKED)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -262,32 +370,33 @@ def _near_duplicates(source: DataFrame, percent: int, words: int) -> DataFrame:
     scratch = Scratch(spark)
     texts = source.select("key", "text")
     sketched = scratch.keep(texts.mapInArrow(_sketches(words), _SKETCH), "sketches")
-    classes = sketched.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("key").alias("rep"))
+    # written, so that the join below reads it by a shuffle of its own and the adaptive planner can split the rows of a class that holds a third of all
+    classes = scratch.keep(sketched.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("size")), "classes")
     reps = scratch.keep(sketched.join(classes, F.col("key") == F.col("rep"), "left_semi").select("key", "n_shingles", "registers", "bands"), "representatives")
     meet = reps.select("key", F.explode("bands").alias("band"))
     least = meet.groupBy("band").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     star = meet.withColumnRenamed("key", "a").join(least, "band").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     nearest = star.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
     side = lambda x: reps.select(F.col("key").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
-    best = scratch.keep(nearest.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimated(percent), "a long, b long"), "best")
-    links = _confirm(best, texts, percent, words, scratch)
+    best = scratch.keep(nearest.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimated(percent), "a long, b long, na long"), "best")
+    links = scratch.keep(_links(_stars(best), texts, percent, words), "links")
     release(spark)
     grown = components(links, scratch)
 
     # keys under which several components still meet
     labelled = reps.join(grown.withColumnRenamed("id", "key"), "key", "left").select("key", "n_shingles", "registers", "bands", F.coalesce("component", "key").alias("component"))
-    again = labelled.select("key", "component", F.explode("bands").alias("band"))
-    mixed = again.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y")
-    mixed = mixed.select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    again = labelled.select("key", "component", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+    mixed = again.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")).where("x <> y")
+    mixed = mixed.select("band", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / HEAVY)).cast("int").alias("blocks"))
     dealt = again.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     cells = dealt.select("key", "band", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", "band", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    met = cells.join(labelled.select("key", "component", F.col("n_shingles").alias("n"), "registers"), "key")
-    rest = scratch.keep(met.groupBy("band", "i", "j").applyInArrow(_crossing(percent), "a long, b long").distinct(), "crossing")
+    met = cells.join(labelled.select("key", "component", F.col("n_shingles").alias("n"), "registers"), "key").select(*_MARKED, "registers")
+    marked = scratch.keep(_by_cell(met).mapInArrow(_marked(percent), "band long, i int, j int, block int, key long, component long, n long"), "marked")
     release(spark)
-    more = _confirm(rest, texts, percent, words, scratch)
+    more = scratch.keep(_links(marked, texts, percent, words), "links")
     final = components(links.unionByName(more), scratch)
 
-    member = sketched.join(classes, ["set_a", "set_b", "n_shingles"], "left").select("key", "n_shingles", F.coalesce("rep", "key").alias("rep"))
+    member = sketched.join(classes.where("size > 1"), ["set_a", "set_b", "n_shingles"], "left").select("key", "n_shingles", F.coalesce("rep", "key").alias("rep"))
     named = member.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("key", "n_shingles", F.coalesce("component", "rep").alias("component"))
     if surrogate(source):
         ids = source.select(F.col("key").alias("component"), F.col("doc_id").alias("component_id"))

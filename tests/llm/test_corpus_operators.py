@@ -122,6 +122,34 @@ def test_near_duplicates_match_brute_force(docs_of):
     assert [(rows[i].n_shingles, rows[i].component_id, rows[i].kept) for i in range(len(texts))] == [(len(s), c, c == i) for i, (s, c) in enumerate(zip(sets, want))]
 
 
+def test_groups_split_into_blocks_lose_no_link(docs_of, monkeypatch):
+    """Chains of texts about the threshold that share most keys, dealt to blocks and stars of a few rows."""
+    monkeypatch.setattr(minhash, "BLOCK", 5)
+    monkeypatch.setattr(minhash, "LEAVES", 3)
+    monkeypatch.setattr(minhash, "HEAVY", 2000)
+    rng = random.Random(11)
+    texts = []
+    for _ in range(3):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(160)]
+        for _ in range(60):
+            b = list(base)
+            for k in rng.sample(range(160), rng.choice([1, 2, 3, 4, 6])):
+                b[k] = f"v{rng.randrange(10**6)}"
+            texts.append(" ".join(b))
+    rng.shuffle(texts)
+    want = brute_components([shingle_set(t) for t in texts])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs_of(list(enumerate(texts))).repartition(5)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_shingles_do_not_depend_on_segments(monkeypatch):
+    rng = random.Random(5)
+    texts = [b" ".join(bytes([rng.randrange(97, 123)]) * rng.randrange(1, 40) for _ in range(rng.randrange(200))) for _ in range(20)] + [b"x" * 900, b"", b" a"]
+    want = minhash.shingles(texts)
+    monkeypatch.setattr(minhash, "SEGMENT", 64)
+    assert all((a == b).all() for a, b in zip(want, minhash.shingles(texts)))
+
+
 def test_near_duplicates_take_odd_rows(docs_of, odd_rows):
     rows = minhash.near_duplicates(docs_of(odd_rows)).collect()
     assert len(rows) == len(odd_rows)
