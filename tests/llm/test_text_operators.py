@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -165,7 +166,7 @@ def test_planted_keys_are_found_in_tables_of_any_size(docs_of, n):
 
 
 def brute(p, word):
-    e, out = p.edges(word), []
+    e, out = p.lattice(word)[0], []
 
     def walk(j, ids, s):
         if not j:
@@ -189,6 +190,38 @@ def test_n_best_is_exact(text):
         assert p.decode(np.frombuffer(ids, dtype="<u4").tolist()) == text
 
 
+def test_the_first_way_is_the_best_and_knows_the_second():
+    p = pieces.pieces_of(MODEL)
+    rng = random.Random(2)
+    for _ in range(400):
+        word = pieces.GAP + "".join(rng.choice("theandrsion.,éß") for _ in range(rng.randrange(1, 14)))
+        top, ids, second = p.first(word)
+        found = p.search(word, 3)
+        assert top == found[0][0] and sum(p.score[i] for i in ids) == pytest.approx(top)
+        assert second == pytest.approx(top - found[1][0]) if len(found) > 1 else second == np.inf
+        assert [s for s, _ in found] == pytest.approx([s for s, _ in brute(p, word)[: len(found)]])
+
+
+def test_a_megabyte_without_a_space_is_linear_and_exact():
+    p = pieces.pieces_of(MODEL)
+    began = time.time()
+    for text in ("theandé" * 150_000, "x" * 300_000, "中文字" * 50_000):
+        ids, scores, decoded = p.encode(text)
+        assert decoded == text and len(scores) == (1 if text[0] == "中" else 3) and scores == sorted(scores, reverse=True)
+        assert sum(p.score[i] for i in np.frombuffer(ids, dtype="<u4").tolist()) == pytest.approx(scores[0])
+    assert time.time() - began < 60
+
+
+def test_long_words_are_searched_as_if_uncut():
+    p = pieces.pieces_of(MODEL)
+    rng = random.Random(4)
+    for _ in range(20):
+        word = "".join(rng.choice("theandéñ中ß9#") for _ in range(150))
+        ids, scores, decoded = p.encode(word)
+        found = p.search(pieces.GAP + word, 3)
+        assert decoded == word and scores == pytest.approx([s for s, _ in found])
+
+
 def test_pieces_take_odd_rows(docs_of, odd_rows):
     rows = pieces.encode(docs_of(odd_rows), MODEL).collect()
     assert len(rows) == len(odd_rows) and all(r.round_trip for r in rows if r.doc_id != 9)
