@@ -1,8 +1,8 @@
 """Removal of repeated byte strings by a depth-limited radix sort of suffixes.
 
 Suffixes are ordered by their first `length` bytes only, in passes that read the most significant digit first, and a group of equal suffixes
-at full depth is exactly a set of repeated windows. Digits are names of byte strings (64-bit, by prefix doubling), and a suffix leaves the
-sort as soon as its group has one member:
+at full depth is exactly a set of repeated windows. Digits are strings of bytes, told apart by names (prefix doubling); what decides about bytes is told
+apart by two independent names, 96 bits in all. A suffix leaves the sort as soon as its group has one member:
 
 1. Digit one names `core` bytes at sampled suffixes. The sample is chosen by content: of the positions in a window of `length` bytes, those
    whose digit is least. Equal windows therefore hold equal samples at equal places, and a window whose samples are all alone in their groups
@@ -36,14 +36,17 @@ from .common import U64, Scratch, buckets, keyed, mix, release, seeds, slices, t
 LENGTH = 100
 CORE = 48
 HOT = 16
-PIECE = 1 << 19  # bytes of a text that are worked on at once
+PIECE = 1 << 17  # bytes of a text that are worked on at once
 FLUSH = 300_000  # suffixes that a task gathers before it sends them
 BYTES = seeds(256, 2)
 STEP = seeds(16, 3)
+BYTES2 = (seeds(256, 4) >> U64(32)).astype(np.uint32)
+STEP2 = (seeds(16, 5) >> U64(31)).astype(np.uint32) | np.uint32(1)
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-_PACKED = "bucket int, mark boolean, a binary, b binary, key binary, at binary"
-_PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("mark", pa.bool_()), *((c, pa.binary()) for c in ("a", "b", "key", "at"))])
+_FIELDS = {"a": np.uint32, "b": np.uint64, "c": np.uint32, "key": np.int64, "at": np.int32}  # packed columns
+_PACKED = "bucket int, mark boolean, " + ", ".join(f"{c} binary" for c in _FIELDS)
+_PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("mark", pa.bool_()), *((c, pa.binary()) for c in _FIELDS)])
 _MARKS = "key long, kind int, start int, stop int"
 _MARKS_ARROW = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
 COVERED, SAMPLE_COVERED, CONTESTED = 0, 1, 2
@@ -80,30 +83,34 @@ class Names:
         self.piece = np.repeat(np.arange(len(pieces)), sizes)
         x = np.frombuffer(b"".join(parts), dtype=np.uint8)
         self.n = n = len(x)
-        pad = 2 * max(length, 128)
-        h = BYTES[np.concatenate([x, np.zeros(pad, dtype=np.uint8)])]
-        self.names = {1: h}
-        m, level = 1, 0
-        while 2 * m <= 2 * length:
-            h = h[:-m] * STEP[level] + h[m:]
-            m, level = 2 * m, level + 1
-            if 2 * m > core:
-                self.names[m] = h
-        del self.names[1]
+        x = np.concatenate([x, np.zeros(2 * max(length, 128), dtype=np.uint8)])
+        self.names, self.second = self._doubled(BYTES[x], STEP), self._doubled(BYTES2[x], STEP2)
         self.at = np.arange(n) + self.shift[self.piece]
         self.end = np.array(ends, dtype=np.int64)[self.piece]
         self.own = (self.at >= np.array(los, dtype=np.int64)[self.piece]) & (self.at < np.array(his, dtype=np.int64)[self.piece])
         tail = np.cumsum(sizes)[self.piece] - np.arange(n)  # bytes of the piece from here on
         self.whole = (self.at + length <= self.end) & (tail >= length)
 
-    def name(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Names of strings of various sizes: two overlapping powers of two and the size."""
-        out = np.zeros(len(start), dtype=np.uint64)
+    def _doubled(self, h: np.ndarray, step: np.ndarray) -> dict[int, np.ndarray]:
+        """Names of the strings of 2^k bytes from each place, for those sizes that are needed."""
+        out, m, level = {}, 1, 0
+        while 2 * m <= 2 * self.length:
+            h = h[:-m] * step[level] + h[m:]
+            m, level = 2 * m, level + 1
+            if 2 * m > self.core:
+                out[m] = h
+        return out
+
+    def name(self, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both names of strings of various sizes: two overlapping powers of two and the size."""
+        out, out2 = np.zeros(len(start), dtype=np.uint64), np.zeros(len(start), dtype=np.uint32)
         powers = sorted(self.names)
         for p, q in zip(powers, [*powers[1:], 1 << 62]):
             s = np.flatnonzero((size >= p) & (size < q))
-            out[s] = mix(self.names[p][start[s]] * STEP[14] + self.names[p][start[s] + size[s] - p] + size[s].astype(np.uint64) * STEP[15])
-        return out
+            begin, end = start[s], start[s] + size[s] - p
+            out[s] = mix(self.names[p][begin] * STEP[14] + self.names[p][end] + size[s].astype(np.uint64) * STEP[15])
+            out2[s] = self.second[p][begin] * STEP2[14] + self.second[p][end]
+        return out, out2
 
     def fixed(self, size: int) -> np.ndarray:
         p = max(x for x in self.names if x <= size)
@@ -124,16 +131,17 @@ class Names:
         return place[ok], digit[place[ok]], left[ok], right[ok]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], extra: bool = False) -> Iterator[list]:
-    """Lists of (key, bytes, lo, hi[, marks]) that hold about PIECE bytes."""
+def _pieces(batches: Iterator[pa.RecordBatch], prepared=None) -> Iterator[list]:
+    """Lists of (key, bytes, lo, hi[, what `prepared` makes of the row's marks, once for all its pieces]) that hold about PIECE bytes."""
     out, n = [], 0
     for b in slices(batches, most=2 * PIECE):
-        marks = b.column(2).to_pylist() if extra else [None] * b.num_rows
-        for key, text, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), marks):
+        marks = _mark_arrays(b.column(2)) if prepared else [()] * b.num_rows
+        for i, (key, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
             raw = (text or "").encode("utf-8", "surrogatepass")
+            more = (prepared(len(raw), marks[i]),) if prepared else ()
             for lo in range(0, max(1, len(raw)), PIECE):
                 hi = min(lo + PIECE, len(raw))
-                out.append((key, raw, lo, hi, m) if extra else (key, raw, lo, hi))
+                out.append((key, raw, lo, hi, *more))
                 n += hi - lo
                 if n >= PIECE:
                     yield out
@@ -142,6 +150,15 @@ def _pieces(batches: Iterator[pa.RecordBatch], extra: bool = False) -> Iterator[
         yield out
 
 
+def _mark_arrays(col: pa.ListArray) -> list[np.ndarray]:
+    """(kind, start, stop) rows of each list, without Python objects for single marks."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    values = np.stack([np.asarray(col.values.field(c)).astype(np.int64) for c in ("kind", "start", "stop")], axis=1) if len(col.values) else np.zeros((0, 3), dtype=np.int64)
+    edge = np.asarray(col.offsets)
+    return [values[a:z] for a, z in zip(edge, edge[1:])]
+
+
 def _new(*arrays: np.ndarray) -> np.ndarray:
     out = np.ones(len(arrays[0]), dtype=bool)
     if len(out):
@@ -155,20 +172,24 @@ def _later(first: np.ndarray, key: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (key != key[lead]) | (at != at[lead])
 
 
-def _deal(n_buckets: int, by: np.ndarray, mark: np.ndarray, a: np.ndarray, b: np.ndarray, key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+def _deal(n_buckets: int, by: np.ndarray, mark: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     """Rows of packed columns, one for each bucket and kind."""
     bucket = ((by >> U64(32)) * U64(n_buckets) >> U64(32)).astype(np.int64) * 2 + mark
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     cuts = np.flatnonzero(_new(bucket)) if len(bucket) else np.zeros(0, dtype=np.int64)
     stops = np.concatenate([cuts[1:], [len(bucket)]]).astype(np.int64) if len(cuts) else cuts
-    packed = [c[order].astype(t) for c, t in ((a, np.uint32), (b, np.uint64), (key, np.int64), (at, np.int32))]
-    blobs = [pa.array([c[s:e].tobytes() for s, e in zip(cuts, stops)], pa.binary()) for c in packed]
+    packed = [c[order].astype(t) for c, t in zip(columns, _FIELDS.values())]
+    blobs = [pa.array([c[s:e].view(np.uint8).reshape(-1, c.itemsize).T.tobytes() for s, e in zip(cuts, stops)], pa.binary()) for c in packed]  # first bytes first: the shuffle's compression finds runs of equal ones
     return pa.RecordBatch.from_arrays([pa.array((bucket[cuts] // 2).astype(np.int32)), pa.array(bucket[cuts] % 2 == 1), *blobs], schema=_PACKED_ARROW)
 
 
 def _unpack(t: pa.Table) -> tuple[np.ndarray, ...]:
-    return tuple(np.frombuffer(b"".join(x.as_py() for x in t.column(c)), dtype=d) for c, d in (("a", np.uint32), ("b", np.uint64), ("key", np.int64), ("at", np.int32)))
+    def column(name: str, kind: type) -> np.ndarray:
+        parts = [np.frombuffer(x.as_py(), dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel() for x in t.column(name)]
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
+
+    return tuple(column(c, d) for c, d in _FIELDS.items())
 
 
 def _intervals(key: np.ndarray, start: np.ndarray, stop: np.ndarray, overlap: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,16 +221,16 @@ def _first_pass(n_buckets: int, length: int, core: int):
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            digit, name, key, at, left, right = (np.concatenate(x) for x in zip(*held))
+            digit, name, second, key, at, left, right = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            order = np.lexsort((at, key, name, digit))
-            digit, name, key, at, left, right = (x[order] for x in (digit, name, key, at, left, right))
-            first = _new(digit, name)
+            order = np.lexsort((at, key, second, name, digit))
+            digit, name, second, key, at, left, right = (x[order] for x in (digit, name, second, key, at, left, right))
+            first = _new(digit, name, second)
             # repeats within the task: whole neighbourhoods, told as intervals in the columns key, a (start) and at (stop). Pass 3 leaves out every window
             # inside one, so they are joined only where each window of the union lies in one of them
             late = ~first & _later(first, key, at)
             k, s, e = _intervals(key[late], at[late] - left[late], at[late] + right[late], length - 1)
-            digit, name, key, at = (x[first] for x in (digit, name, key, at))
+            digit, name, second, key, at = (x[first] for x in (digit, name, second, key, at))
             group = np.cumsum(_new(digit)) - 1
             hot = np.bincount(group, minlength=1)[group] > HOT if len(group) else np.zeros(0, dtype=bool)
             lead = np.flatnonzero(hot & _new(digit)) if len(group) else np.zeros(0, dtype=np.int64)
@@ -217,16 +238,19 @@ def _first_pass(n_buckets: int, length: int, core: int):
             rng = mix(key[lead].astype(np.uint64) * STEP[0] + at[lead].astype(np.uint64) * STEP[1])
             cold = ~hot
             d = np.concatenate([digit[cold], digit[lead]])
-            yield _deal(n_buckets, d, np.zeros(len(d), dtype=np.int64), d, np.concatenate([name[cold], rng]), np.concatenate([key[cold], np.full(len(lead), -1)]), np.concatenate([at[cold], np.full(len(lead), -1)]))
+            none = np.full(len(lead), -1)
+            # sampled digits are the least of their windows, so they are mixed before they name a bucket: small ones would all meet in the first buckets
+            yield _deal(n_buckets, mix(d), np.zeros(len(d), dtype=np.int64), d, np.concatenate([name[cold], rng]), *(np.concatenate([x[cold], none.astype(x.dtype)]) for x in (second, key, at)))
             kinds = np.concatenate([np.full(len(k), COVERED), np.full(int(hot.sum()), CONTESTED)]).astype(np.uint64)
             k, s, e = np.concatenate([k, key[hot]]), np.concatenate([s, at[hot]]), np.concatenate([e, at[hot]])
-            yield _deal(n_buckets, mix(k.astype(np.uint64)), np.ones(len(k), dtype=np.int64), s, kinds, k, e)
+            yield _deal(n_buckets, mix(k.astype(np.uint64)), np.ones(len(k), dtype=np.int64), s, kinds, np.zeros(len(k)), k, e)
 
         for pieces in _pieces(batches):
             names = Names(pieces, length, core)
             place, digit, left, right = names.samples()
-            held.append((digit, names.name(place - left, left + right) + left.astype(np.uint64) * STEP[13], names.keys[names.piece[place]], names.at[place], left, right))
-            del names, place, digit, left, right
+            name, second = names.name(place - left, left + right)
+            held.append((digit, name + left.astype(np.uint64) * STEP[13], second, names.keys[names.piece[place]], names.at[place], left, right))
+            del names, place, digit, left, right, name, second
             if sum(len(x[0]) for x in held) >= FLUSH:
                 yield from flush()
                 trim()
@@ -254,12 +278,12 @@ def _by_bucket(settle):
 
 def _first_groups(t: pa.Table) -> pa.Table:
     told = t.filter(t.column("mark"))
-    start, kinds, key, stop = _unpack(told)
+    start, kinds, _, key, stop = _unpack(told)
     out = [(kinds.astype(np.int32), key, start.astype(np.int64), stop)]
-    digit, name, key, at = _unpack(t.filter(pc.invert(t.column("mark"))))
-    order = np.lexsort((at, key, name, digit))
-    digit, name, key, at = (x[order] for x in (digit, name, key, at))
-    first = _new(digit, name)
+    digit, name, second, key, at = _unpack(t.filter(pc.invert(t.column("mark"))))
+    order = np.lexsort((at, key, second, name, digit))
+    digit, name, second, key, at = (x[order] for x in (digit, name, second, key, at))
+    first = _new(digit, name, second)
     late = _later(first, key, at)
     out.append((SAMPLE_COVERED, key[late], at[late], at[late]))
     group = np.cumsum(_new(digit)) - 1
@@ -268,9 +292,8 @@ def _first_groups(t: pa.Table) -> pa.Table:
     return _marks(*out)
 
 
-def _cover(n: int, marks: list, length: int, core: int) -> tuple[np.ndarray, np.ndarray]:
-    """Covered bytes of a text (starts of covered windows and bytes come from the same intervals) and its contested samples."""
-    m = np.array([(x["kind"], x["start"], x["stop"]) for x in marks or ()], dtype=np.int64).reshape(-1, 3)
+def _cover(n: int, m: np.ndarray, length: int, core: int) -> tuple[np.ndarray, np.ndarray]:
+    """Covered spans of a text of n bytes and its contested samples, from its marks (kind, start, stop)."""
     start, stop = m[:, 1].copy(), m[:, 2].copy()
     s = m[:, 0] == SAMPLE_COVERED
     start[s] = np.maximum(0, m[s, 1] - (length - core))
@@ -279,11 +302,25 @@ def _cover(n: int, marks: list, length: int, core: int) -> tuple[np.ndarray, np.
     return np.stack([start[c], stop[c]], axis=1), m[~c, 1]
 
 
-def _filled(n: int, spans: np.ndarray, cut: int = 0) -> np.ndarray:
-    """Places of 0..n inside spans, each shortened by `cut` at its end."""
-    d = np.zeros(n + 1, dtype=np.int32)
-    np.add.at(d, spans[:, 0], 1)
-    np.add.at(d, np.maximum(spans[:, 1] - cut, spans[:, 0]), -1)
+def _contest(length: int, core: int):
+    """(size of a text, its marks) -> (first, last + 1) of the window starts around contested samples, and of those inside covered spans; both sorted."""
+
+    def run(n: int, m: np.ndarray) -> tuple[np.ndarray, ...]:
+        spans, contested = _cover(n, m, length, core)
+        zero = lambda a: np.zeros(len(a), dtype=np.int64)
+        _, near, near_end = _intervals(zero(contested), np.maximum(0, contested - (length - core)), np.minimum(n, contested + 1))
+        _, known, known_end = _intervals(zero(spans), spans[:, 0], spans[:, 1], length - 1)
+        return near, near_end, known, np.maximum(known_end - (length - 1), known)
+
+    return run
+
+
+def _filled(lo: int, hi: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which of lo..hi lie inside intervals whose ends both ascend."""
+    s, e = np.searchsorted(last, lo, side="right"), np.searchsorted(first, hi)
+    d = np.zeros(hi - lo + 1, dtype=np.int32)
+    np.add.at(d, np.maximum(first[s:e], lo) - lo, 1)
+    np.add.at(d, np.minimum(last[s:e], hi) - lo, -1)
     return np.cumsum(d[:-1]) > 0
 
 
@@ -294,34 +331,27 @@ def _last_pass(n_buckets: int, length: int, core: int):
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            name, key, at = (np.concatenate(x) for x in zip(*held))
+            name, second, key, at = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            order = np.lexsort((at, key, name))
-            name, key, at = name[order], key[order], at[order]
-            first = _new(name)
+            order = np.lexsort((at, key, second, name))
+            name, second, key, at = (x[order] for x in (name, second, key, at))
+            first = _new(name, second)
             late = ~first & _later(first, key, at)
             k, s, e = _intervals(key[late], at[late], at[late] + length)
-            name, key, at = name[first], key[first], at[first]
-            yield _deal(n_buckets, name, np.zeros(len(name), dtype=np.int64), name, name, key, at)
-            yield _deal(n_buckets, mix(k.astype(np.uint64)), np.ones(len(k), dtype=np.int64), s, np.zeros(len(k), dtype=np.uint64), k, e)
+            name, second, key, at = (x[first] for x in (name, second, key, at))
+            yield _deal(n_buckets, name, np.zeros(len(name), dtype=np.int64), np.zeros(len(name)), name, second, key, at)
+            none = np.zeros(len(k), dtype=np.uint64)
+            yield _deal(n_buckets, mix(k.astype(np.uint64)), np.ones(len(k), dtype=np.int64), s, none, none, k, e)
 
-        for pieces in _pieces(batches, extra=True):
-            wanted = []
+        for pieces in _pieces(batches, _contest(length, core)):
             names = Names([p[:4] for p in pieces], length, core)
-            w = length - core
             want = np.zeros(names.n, dtype=bool)
-            for i, (_, raw, lo, hi, marks) in enumerate(pieces):
-                n = len(raw)
-                spans, contested = _cover(n, marks, length, core)
-                near = _filled(n, np.stack([np.maximum(0, contested - w), np.minimum(n, contested + 1)], axis=1)) & ~_filled(n, spans, length - 1)
-                near[:lo] = False
-                near[hi:] = False
-                wanted.append(np.flatnonzero(near) - names.shift[i])
-            want[np.concatenate(wanted)] = True
+            for i, (_, _, lo, hi, (near, near_end, known, known_end)) in enumerate(pieces):
+                wanted = _filled(lo, hi, near, near_end) & ~_filled(lo, hi, known, known_end)
+                want[np.flatnonzero(wanted) + (lo - names.shift[i])] = True
             place = np.flatnonzero(want & names.whole)
-            name = names.name(place, np.full(len(place), length))
-            held.append((name, names.keys[names.piece[place]], names.at[place]))
-            del names, place, name, want, wanted
+            held.append((*names.name(place, np.full(len(place), length)), names.keys[names.piece[place]], names.at[place]))
+            del names, place, want
             if sum(len(x[0]) for x in held) >= FLUSH:
                 yield from flush()
                 trim()
@@ -333,12 +363,12 @@ def _last_pass(n_buckets: int, length: int, core: int):
 
 def _last_groups(length: int):
     def run(t: pa.Table) -> pa.Table:
-        start, kinds, key, stop = _unpack(t.filter(t.column("mark")))
+        start, kinds, _, key, stop = _unpack(t.filter(t.column("mark")))
         out = [(kinds.astype(np.int32), key, start.astype(np.int64), stop)]
-        _, name, key, at = _unpack(t.filter(pc.invert(t.column("mark"))))
-        order = np.lexsort((at, key, name))
-        name, key, at = name[order], key[order], at[order]
-        late = _later(_new(name), key, at)
+        _, name, second, key, at = _unpack(t.filter(pc.invert(t.column("mark"))))
+        order = np.lexsort((at, key, second, name))
+        name, second, key, at = (x[order] for x in (name, second, key, at))
+        late = _later(_new(name, second), key, at)
         k, s, e = _intervals(key[late], at[late], at[late].astype(np.int64) + length)
         out.append((COVERED, k, s, e))
         return _marks(*out)
@@ -362,7 +392,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, core: int | None = None, keep
     return source.join(gather(one.where(F.col("kind") != CONTESTED).unionByName(two)), "key", "left")
 
 
-def _kept(raw: bytes, marks: list, length: int, core: int) -> tuple[bytes, int, int]:
+def _kept(raw: bytes, marks: np.ndarray, length: int, core: int) -> tuple[bytes, int, int]:
     """What is left of a text, the number of removed bytes and of maximal removed runs."""
     spans, _ = _cover(len(raw), marks, length, core)
     if not len(spans):
@@ -383,7 +413,7 @@ def digest(docs: DataFrame, length: int = LENGTH, core: int | None = None) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, most=4_000_000):
             rows = []
-            for doc, text, marks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for doc, text, marks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _mark_arrays(b.column(2))):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 kept, removed, spans = _kept(raw, marks, length, core)
                 rows.append((doc, len(raw), removed, spans, hashlib.sha256(kept).hexdigest()))
@@ -400,7 +430,7 @@ def strip(docs: DataFrame, length: int = LENGTH, core: int | None = None) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, most=4_000_000):
-            texts = [None if t is None else _kept(t.encode("utf-8", "surrogatepass"), m, length, core)[0].decode("utf-8", "ignore") for t, m in zip(b.column("text").to_pylist(), b.column("marks").to_pylist())]
+            texts = [None if t is None else _kept(t.encode("utf-8", "surrogatepass"), m, length, core)[0].decode("utf-8", "ignore") for t, m in zip(b.column("text").to_pylist(), _mark_arrays(b.column("marks")))]
             cols = {c: b.column(c) for c in b.schema.names if c != "marks"} | {"text": pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_pydict(cols)
 
