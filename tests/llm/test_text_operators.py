@@ -112,6 +112,42 @@ def test_contexts_discover_what_patterns_miss(docs_of):
     assert all(rows[i].count(":") == 2 for i, _ in known)
 
 
+def test_spaced_numbers_and_long_neighbours_are_discovered(docs_of):
+    long = "x" * 300
+    known = [(i, f"so {long} dial +1 415 555 {1000 + i} thanks") for i in range(30)]
+    unseen = [(200, f"so {long} dial 0415 555 123 thanks"), (201, f"so {long} dial 12 3 please"), (202, "no context 0415 555 999 here"), (203, f"so {long} dial (0415) 555-777 thanks")]
+    rows = {r.doc_id: r.spans for r in pii.personal_data(docs_of(known + unseen)).collect()}
+    assert rows[200] == "phone:309:321" and not rows[201] and not rows[202]
+    assert rows[203] == "phone:310:323"
+
+
+def test_discovery_recall_over_many_contexts(docs_of):
+    """One in nine identifiers of each context lacks the plus that the pattern needs; those are found, and no number in other contexts."""
+    rng = random.Random(8)
+    contexts = [f"{a} {b}" for a in ("please", "just", "always", "then") for b in ("ring", "text", "reach", "fax")]
+    number = lambda: f"{rng.randrange(10**4):04d} {rng.randrange(10**5):05d}"
+    docs, hidden, plain = [], [], []
+    for c in contexts:
+        for k in range(45):
+            docs.append((len(docs), f"note {k} {c} {'' if k % 9 == 0 else '+44 '}{number()} soon"))
+            if k % 9 == 0:
+                hidden.append(docs[-1][0])
+    for k in range(200):
+        plain.append(len(docs))
+        docs.append((len(docs), f"note of {number()} units number {k}"))
+    rows = {r.doc_id: r.spans for r in pii.personal_data(docs_of(docs)).collect()}
+    assert sum(bool(rows[i]) for i in hidden) >= 0.9 * len(hidden) and not any(rows[i] for i in plain)
+
+
+def test_many_tokens_in_one_text_take_linear_time(docs_of):
+    text = " ".join(f"id{100000 + i} 10.0.{i % 200}.7 é" for i in range(30_000))
+    began = time.time()
+    (row,) = pii.personal_data(docs_of([(1, text)])).collect()
+    assert row.n_ip == 30_000
+    assert pii.mask(docs_of([(1, text)])).first().text == re.sub(r"10\.0\.[0-9]+\.7", "[IP]", text)
+    assert time.time() - began < 90
+
+
 def test_mask(docs_of):
     d = docs_of([(1, "mail a.b@c.de or +1 415 555 2671!"), (2, None), (3, "plain"), (3, "plain"), (None, "ip 1.2.3.4")])
     out = pii.mask(d)
