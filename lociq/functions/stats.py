@@ -91,6 +91,12 @@ def tracy_widom(eigenvalues: np.ndarray, tol: float = 1e-12) -> np.ndarray:
         return (n * e / l1 - mu) / sigma
 
 
+def tracy_widom_upper(x: float) -> float:
+    """Upper tail of the Tracy-Widom law of order 1, by the shifted gamma law with its first three moments."""
+    shape, scale, shift = 46.446, 0.186054, 9.84801  # fixed values
+    return 1.0 if math.isnan(x) or x <= -shift else chi2_upper(2 * (x + shift) / scale, 2 * shape)
+
+
 def welch(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """One-sided (greater) unequal-variance t statistic and p."""
     a, b = x.var(ddof=1) / len(x), y.var(ddof=1) / len(y)

@@ -102,3 +102,72 @@ def score_r2(scores: DataFrame, pheno: DataFrame, by: list[str], response: str)
 def bootstrap_p(random: DataFrame, observed: DataFrame) -> DataFrame:
     """p: share of random sets whose r2 reaches the observed one (a single row)."""
     return random.join(F.broadcast(observed.select(F.col("r2").alias("seen")))).agg(F.avg((F.col("r2") >= F.col("seen")).cast("double")).alias("p"))
+
+
+def cross_validate_full(data: DataFrame, by: list[str], y: str, covariate: str, score: str, part: str = "part") -> DataFrame:
+    """The metrics of y ~ covariate (reduced) and y ~ covariate + score (full), fitted on the train rows and predicted on the test rows of each `by`:
+    reduced_r2, full_r2, prs_r2, prs_f (train); rmse, mae, correlation with the prediction and its square of both, and the squares' difference (test)."""
+    train = data.where(F.col(part) == "train").groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(y).alias("my"), F.avg(covariate).alias("mc"), F.avg(score).alias("ms"),
+        *[F.covar_pop(a, b).alias(n) for a, b, n in ((covariate, covariate, "cc"), (score, score, "ss"), (y, y, "yy"), (covariate, score, "cs"), (covariate, y, "cy"), (score, y, "sy"))],
+    )
+    c = F.col
+    det = c("cc") * c("ss") - c("cs") * c("cs")
+    fit = train.withColumns({"rb": c("cy") / c("cc"), "fc": (c("cy") * c("ss") - c("sy") * c("cs")) / det, "fs": (c("sy") * c("cc") - c("cy") * c("cs")) / det})
+    fit = fit.withColumns({"reduced_r2": c("rb") * c("cy") / c("yy"), "full_r2": (c("fc") * c("cy") + c("fs") * c("sy")) / c("yy")})
+    fit = fit.select(*by, "n", "my", "mc", "ms", "rb", "fc", "fs", "reduced_r2", "full_r2", (c("full_r2") - c("reduced_r2")).alias("prs_r2"), ((c("full_r2") - c("reduced_r2")) / ((1 - c("full_r2")) / (c("n") - 3))).alias("prs_f"))
+    test = data.where(F.col(part) == "test").join(fit, by)
+    test = test.withColumns({"_r": c("my") + c("rb") * (c(covariate) - c("mc")), "_f": c("my") + c("fc") * (c(covariate) - c("mc")) + c("fs") * (c(score) - c("ms"))})
+    out = []
+    for name, p in (("reduced", "_r"), ("full", "_f")):
+        e = c(y) - c(p)
+        out += [F.sqrt(F.avg(e * e)).alias(f"{name}_rmse"), F.avg(F.abs(e)).alias(f"{name}_mae"), F.corr(y, p).alias(f"{name}_pred_cor")]
+    g = test.groupBy(*by).agg(*[F.first(x).alias(x) for x in ("reduced_r2", "full_r2", "prs_r2", "prs_f")], *out)
+    g = g.withColumns({"reduced_pred_r2": c("reduced_pred_cor") * c("reduced_pred_cor"), "full_pred_r2": c("full_pred_cor") * c("full_pred_cor")})
+    return g.withColumn("prs_pred_r2", c("full_pred_r2") - c("reduced_pred_r2"))
+
+
+def with_p(metrics: DataFrame, f: str, df1: int, df2: str, name: str = "prs_pvalue") -> DataFrame:
+    """metrics with the upper tail of an F statistic (column f; df2 is a column); undefined ones give 1."""
+    import pandas as pd
+
+    from ..functions import stats
+
+    def tail(batches):
+        for x, d in batches:
+            yield pd.Series([1.0 if a is None or a != a or b is None or b <= 0 else stats.f_upper(a, df1, b) for a, b in zip(x, d)])
+
+    from collections.abc import Iterator
+
+    tail.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return metrics.withColumn(name, F.pandas_udf(tail, "double")(F.col(f).cast("double"), F.col(df2).cast("double")))
+
+
+def criterion(metrics: DataFrame, by: str, kind: str = "r2") -> DataFrame:
+    """idx and the series on which candidates are compared: r2, its adjustment for the number of markers, -log10 p, or -aic."""
+    series = {"r2": F.col("r2"), "adjusted": adjusted_r2("r2", "n_snp"), "p": -F.log10("p"), "aic": -F.col("aic")}
+    if kind not in series:
+        raise ValueError(f"criterion is one of {sorted(series)}")
+    return metrics.select(F.col(by).alias("idx"), series[kind].alias("value"))
+
+
+def above_baseline(maxima: DataFrame, value: str, baseline: DataFrame, baseline_value: str) -> DataFrame:
+    """Maxima above the mean of the baseline's values (one row)."""
+    return maxima.join(F.broadcast(baseline.agg(F.avg(baseline_value).alias("_m")))).where(F.col(value) > F.col("_m")).drop("_m")
+
+
+def aic(data: DataFrame, by: list[str], y: str, x: str) -> DataFrame:
+    """by..., aic of y ~ x under normal errors: n (ln(2 pi rss / n) + 1) + 2 * 3."""
+    g = data.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.regr_syy(y, x).alias("syy"), F.regr_r2(y, x).alias("r2"))
+    return g.select(*by, (F.col("n") * (F.log(2 * F.pi() * F.col("syy") * (1 - F.col("r2")) / F.col("n")) + 1) + 6).alias("aic"))
+
+
+def cv_summary(runs: DataFrame, by: str, full: str, reduced: str) -> DataFrame:
+    """by, and means, deviations and ranges of both metrics, their difference, the empirical p and the Welch statistic, in one row."""
+    s = runs.withColumn("_d", F.col(full) - F.col(reduced)).groupBy(by).agg(*[f(x).alias(f"{m}_{n}") for x, m in ((full, "full"), (reduced, "reduced"), ("_d", "gain")) for f, n in ((F.avg, "mean"), (F.stddev_samp, "sd"), (F.min, "min"), (F.max, "max"))])
+    return s.join(empirical_p(runs, by, full, reduced), by).join(welch_statistic(runs, by, full, reduced), by)
+
+
+def report(summary_rows: DataFrame, by: str, mean: str, sd: str, p: str) -> DataFrame:
+    """by, line: a summary as text, with a mark where p is below 0.05."""
+    return summary_rows.select(by, F.concat(F.format_string("%.3f (%.3f)", mean, sd), F.when(F.col(p) < 0.05, " *").otherwise("")).alias("line"))

@@ -35,3 +35,17 @@ def merge(g1: DataFrame, g2: DataFrame, compared: DataFrame, how: str = "common"
     a = one.join(keep, "snp_id", kind).where(~F.coalesce(F.col("bad"), F.lit(False))).select("cohort", "sample_id", "snp_id", F.col("dosage").cast("int").alias("dosage"))
     b = two.join(keep, "snp_id", kind).where(~F.coalesce(F.col("bad"), F.lit(False))).select("cohort", "sample_id", "snp_id", turned("dosage").alias("dosage"))
     return a.unionByName(b)
+
+
+def votes(compared: DataFrame, by: str) -> DataFrame:
+    """by, turned, n, majority: how many reconcilable variants are swapped between the cohorts, and whether most are."""
+    turned = F.col("state").isin("swap", "flip_swap", "ambiguous")
+    g = compared.where("state <> 'bad'").groupBy(by).agg(F.sum(turned.cast("long")).alias("turned"), F.count(F.lit(1)).alias("n"))
+    return g.withColumn("majority", F.col("turned") * 2 > F.col("n"))
+
+
+def reconciled(compared: DataFrame, places: DataFrame) -> DataFrame:
+    """Reconcilable variants with one place each: the cohorts' own where they agree, that of `places` (snp_id, chromosome, position) where they do not (null if it has none)."""
+    p = places.select("snp_id", F.col("chromosome").alias("_c"), F.col("position").alias("_p"))
+    j = compared.where("state <> 'bad'").join(p, "snp_id", "left")
+    return j.withColumns({"chromosome": F.when(F.col("chromosome") == F.col("chromosome2"), F.col("chromosome")).otherwise(F.col("_c")), "position": F.when(F.col("position") == F.col("position2"), F.col("position")).otherwise(F.col("_p"))}).drop("_c", "_p")

@@ -117,3 +117,73 @@ def related_samples(kinship: DataFrame, least: float) -> DataFrame:
     """sample_id of both members of every pair whose kinship reaches `least`."""
     near = kinship.where(F.col("kinship") >= least)
     return near.select(F.col("s1").alias("sample_id")).union(near.select("s2")).distinct()
+
+
+def standardised(gt: DataFrame) -> DataFrame:
+    """sample_id, snp_id, z of called cells; variants that do not vary are left out. A missing cell is absent, which is the variant's mean."""
+    s = gt.where("dosage is not null").groupBy("snp_id").agg(F.avg("dosage").alias("m"), F.stddev_samp("dosage").alias("sd")).where("sd > 0")
+    return gt.where("dosage is not null").join(s, "snp_id").select("sample_id", "snp_id", ((F.col("dosage") - F.col("m")) / F.col("sd")).alias("z"))
+
+
+def _row_blocks(z: DataFrame) -> DataFrame:
+    return z.groupBy("sample_id").agg(F.collect_list(F.struct("snp_id", "z")).alias("cells"))  # as long as there are variants
+
+
+def variant_gram(gt: DataFrame) -> DataFrame:
+    """i, j, dot: products of standardised variants over samples. Each task multiplies its samples as a matrix, so one table of variants squared leaves it, however many samples it read."""
+    import numpy as np
+    import pandas as pd
+
+    def products(batches):
+        total, places = np.zeros((0, 0)), {}
+        for t in batches:
+            ids = sorted({c["snp_id"] for cells in t.cells for c in cells} - places.keys())
+            for i in ids:
+                places[i] = len(places)
+            if len(places) > len(total):
+                more = np.zeros((len(places), len(places)))
+                more[: len(total), : len(total)] = total
+                total = more
+            x = np.zeros((len(t), len(places)))
+            for r, cells in enumerate(t.cells):
+                for c in cells:
+                    x[r, places[c["snp_id"]]] = c["z"]
+            total += x.T @ x
+        ids = np.array(sorted(places), dtype=np.int64)
+        at = np.array([places[i] for i in ids], dtype=np.int64)
+        a, b = np.triu_indices(len(ids))
+        yield pd.DataFrame({"i": ids[a], "j": ids[b], "dot": total[at[a], at[b]]} if len(ids) else {"i": [], "j": [], "dot": []})
+
+    return _row_blocks(standardised(gt)).mapInPandas(products, "i long, j long, dot double").groupBy("i", "j").agg(F.sum("dot").alias("dot"))
+
+
+def sample_components(gt: DataFrame, k: int) -> tuple[DataFrame, list[tuple[float, float, float]]]:
+    """(sample_id, pc1 ... pck), and eigenvalue, Tracy-Widom statistic and p of every component.
+
+    The matrix of variants by variants is solved on the driver, so prune the variants first: a few thousand make a table of some 100 MB. Samples are never gathered:
+    each is projected on the loadings, which every task holds."""
+    from ..functions import stats
+
+    rows = variant_gram(gt).collect()
+    ids = sorted({r.i for r in rows})
+    place = {i: n for n, i in enumerate(ids)}
+    import numpy as np
+
+    m = np.zeros((len(ids), len(ids)))
+    for r in rows:
+        m[place[r.i], place[r.j]] = m[place[r.j], place[r.i]] = r.dot
+    values, vectors = np.linalg.eigh(m)
+    order = np.argsort(-values)
+    values, vectors = np.maximum(values[order], 1e-12), vectors[:, order]
+    tests = [(float(v), float(t), stats.tracy_widom_upper(float(t))) for v, t in zip(values, stats.tracy_widom(values))]
+    loadings = gt.sparkSession.createDataFrame([(i, [float(x) for x in vectors[place[i], :k]]) for i in ids], "snp_id long, v array<double>")
+    cells = standardised(gt).join(F.broadcast(loadings), "snp_id")  # k numbers a pruned variant
+    return cells.groupBy("sample_id").agg(*[F.sum(F.col("z") * F.col("v")[i]).alias(f"pc{i + 1}") for i in range(k)]), tests
+
+
+def components_needed(tests: list[tuple[float, float, float]], p: float = 0.05, most: int | None = None) -> int:
+    """How many components are significant one after another from the first, at least one; `most` bounds them."""
+    n = 0
+    while n < len(tests) and tests[n][2] <= p:
+        n += 1
+    return min(max(1, n), most or len(tests))

@@ -79,3 +79,29 @@ def simulate(samples: DataFrame, n_variants: int, frequencies: list[float]) -> D
     f = F.element_at(F.array(*map(F.lit, frequencies)), (F.col("snp_id") % len(frequencies) + 1).cast("int"))
     hit = lambda k: (draw(F.col("sample_id"), F.col("snp_id") * 2 + k).cast("double") / float(PRIME) < f).cast("int")
     return grid.select("sample_id", "snp_id", (hit(0) + hit(1)).alias("dosage"))
+
+
+def with_replacement(samples: DataFrame, iterations: int, size: int, n: int) -> DataFrame:
+    """iteration, draw, sample_id: `size` draws of each iteration, a sample as often as it comes up. `samples` (sample_id, rank from 1 to n)."""
+    drawn = samples.sparkSession.range(1, iterations + 1).select(F.col("id").alias("iteration")).select("iteration", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(size).cast("long"))).alias("draw"))
+    return drawn.withColumn("rank", draw(F.col("draw"), F.col("iteration")) % n + 1).join(samples, "rank").select("iteration", "draw", "sample_id")
+
+
+def grid_splits(samples: DataFrame, leave_outs: list[float], times: int) -> DataFrame:
+    """leave_out, rep, sample_id, part for every leave-out share and repetition, all in one table; ceil(N * (1 - leave_out)) samples train."""
+    grid = samples.select("sample_id", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("rep")).withColumn("r", draw(F.col("sample_id"), F.col("rep").cast("long")))
+    w = Window.partitionBy("rep").orderBy("r", "sample_id")
+    grid = grid.withColumn("k", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("rep")))  # one sort serves every share
+    grid = grid.withColumn("leave_out", F.explode(F.array(*map(F.lit, leave_outs))))
+    return grid.select("leave_out", "rep", "sample_id", F.when(F.col("k") <= F.ceil(F.col("n") * (1 - F.col("leave_out"))), "train").otherwise("test").alias("part"))
+
+
+def baseline_subset(baseline: DataFrame, by: list[str], key: str, size: int) -> DataFrame:
+    """At most `size` rows of the baseline for each `by`, drawn by `key`; shorter baselines stay whole."""
+    w = Window.partitionBy(*by).orderBy(draw(F.col(key), F.lit(1).cast("long")), key)
+    return baseline.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= size).drop("_n")
+
+
+def frequent(frequencies: DataFrame, least: int) -> DataFrame:
+    """Markers that at least `least` iterations have picked."""
+    return frequencies.where(F.col("freq") >= least)

@@ -77,3 +77,30 @@ def threshold_scores(gt: DataFrame, weights: DataFrame, p: DataFrame, thresholds
     grid = part.select("sample_id").distinct().select("sample_id", F.explode(F.array(*map(F.lit, cuts))).alias("threshold"))
     w = Window.partitionBy("sample_id").orderBy("threshold").rowsBetween(Window.unboundedPreceding, 0)
     return grid.join(part, ["sample_id", "threshold"], "left").select("sample_id", "threshold", F.sum(F.coalesce("s", F.lit(0.0))).over(w).alias("score"))
+
+
+def zero_filled(variants: DataFrame, betas: DataFrame) -> DataFrame:
+    """snp_id, method, beta for every variant and method of `betas` (snp_id, method, beta); 0 where a method has none. Methods are a handful and bounded by their names."""
+    grid = variants.select("snp_id").distinct().crossJoin(F.broadcast(betas.select("method").distinct()))
+    return grid.join(betas, ["snp_id", "method"], "left").select("snp_id", "method", F.coalesce("beta", F.lit(0.0)).alias("beta"))
+
+
+def extracted(p: DataFrame, effects: DataFrame, threshold: float) -> DataFrame:
+    """snp_id, p, effect of variants with p within the threshold; of several methods' effects that of the first in `priority` counts."""
+    first = effects.groupBy("snp_id").agg(F.min_by("effect", "priority").alias("effect"))
+    return p.where(F.col("p") <= threshold).join(first, "snp_id").select("snp_id", "p", "effect")
+
+
+def base_file(variants: DataFrame, effects: DataFrame, p: DataFrame, samples: int | DataFrame) -> DataFrame:
+    """Columns CHR, BP, SNP, A1, A2, BETA, P, MAF (0.5), INFO (1) and N, as scoring programs read them. `samples` is their number or a one-row table with column n."""
+    out = variants.join(effects.select("snp_id", "effect"), "snp_id").join(p.select("snp_id", "p"), "snp_id")
+    out = out.withColumn("n", F.lit(samples)) if isinstance(samples, int) else out.join(F.broadcast(samples))
+    return out.select(F.col("chromosome").alias("CHR"), F.col("position").alias("BP"), F.col("snp_id").alias("SNP"), F.col("allele_a").alias("A1"), F.col("allele_b").alias("A2"), F.col("effect").alias("BETA"), F.col("p").alias("P"), F.lit(0.5).alias("MAF"), F.lit(1.0).alias("INFO"), F.col("n").cast("long").alias("N"))
+
+
+def score_file(chosen: DataFrame, variants: DataFrame, assembly: str) -> DataFrame:
+    """Chosen markers (snp_id, effect, freq) as rows of a published score: place, alleles, weight, odds ratio, assembly and frequency."""
+    return chosen.join(variants, "snp_id").select(
+        F.col("chromosome").cast("string").alias("chromosome"), "position", F.col("snp_id").alias("variant_id"), F.col("allele_b").alias("risk_allele"), F.col("allele_a").alias("reference_allele"),
+        F.lit(None).cast("string").alias("locus_name"), F.col("effect").alias("effect_weight"), F.exp("effect").alias("OR"), F.lit(assembly).alias("asm"), "freq",
+    )

@@ -8,11 +8,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dataset import GenoDataset
-from ..operators import association, evaluation, resampling, scoring
+from ..operators import association, evaluation, ranking, resampling, scoring
 from ..operators.qc import Filters
 
 
@@ -41,6 +41,14 @@ class Workspace:
         p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
+    def settings(self, mine: dict[str, str]) -> None:
+        """Writes the settings before the first step; steps on disk that were made with others are refused, not reused."""
+        table = self.step("settings", lambda: self.spark.createDataFrame(sorted(mine.items()), "name string, value string"))
+        found = {r.name: r.value for r in table.collect()}
+        differ = sorted(k for k in mine.keys() | found.keys() if mine.get(k) != found.get(k))
+        if differ:
+            raise ValueError(f"{self.path} holds steps of other settings: {', '.join(differ)}")
+
     def step(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         if not self.has(name):
             make().write.mode("overwrite").parquet(f"{self.path}/{name}")
@@ -61,6 +69,7 @@ def run(spark: SparkSession, data: GenoDataset, plan: Plan, workspace: str) -> d
     from statistics import NormalDist
 
     ws = Workspace(spark, workspace)
+    ws.settings({k: str(v) for k, v in asdict(plan).items()})
     clean = data.filtered(plan.filters)
     parts = ws.step("parts", lambda: resampling.split(clean.samples, plan.iterations, plan.fraction))
     tests = ws.step("associations", lambda: associate(clean, plan, parts))
@@ -71,7 +80,7 @@ def run(spark: SparkSession, data: GenoDataset, plan: Plan, workspace: str) -> d
     total = freq.count()
     if total <= plan.min_snps:
         raise ValueError(f"{total} variants are too few for a candidate")
-    ranked = freq.join(mean, "snp_id").select("snp_id", F.col("effect").alias("weight"), F.row_number().over(Window.orderBy(F.col("freq").desc(), "snp_id")).alias("rank"))
+    ranked = freq.join(mean, "snp_id").select("snp_id", F.col("effect").alias("weight"), "freq").transform(lambda r: ranking.ranked(r, -F.col("freq"), "snp_id")).drop("freq")
 
     def metrics() -> DataFrame:
         s = scoring.prefix_scores(clean.genotypes, ranked, plan.step, total).join(clean.phenotypes, "sample_id")
@@ -79,7 +88,6 @@ def run(spark: SparkSession, data: GenoDataset, plan: Plan, workspace: str) -> d
 
     table = ws.step("metrics", metrics)
     best = ws.step("best", lambda: evaluation.select_best(table.select(F.col("n_snp").alias("idx"), "prs_r2"), "prs_r2"))
-    ws.step("settings", lambda: spark.createDataFrame([(k, str(v)) for k, v in asdict(plan).items()], "name string, value string"))
     return {"associations": tests, "frequencies": freq, "effects": mean, "metrics": table, "best": best}
 
 

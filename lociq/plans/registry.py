@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import association, evaluation, imputation, intervals, merging, penalized, pvalues, qc, relatedness, resampling, scoring
+from ..operators import association, evaluation, imputation, intervals, merging, penalized, pvalues, qc, ranking, relatedness, resampling, scoring
 from ..sources.fixtures import source, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,12 +226,12 @@ def merge_all(v, t):
     return merging.merge(v("gt"), v("gt2"), merging.compare(v("variants"), v("variants2")), "all")
 
 
-@query("SELECT snp_id, gene FROM variants JOIN genes ON position BETWEEN start_pos AND end_pos", "variants", "genes")
+@query("SELECT snp_id, gene FROM variants JOIN genes ON variants.chromosome = genes.chromosome AND position BETWEEN start_pos AND end_pos", "variants", "genes")
 def gene_overlap(v, t):
     return intervals.overlaps(v("variants"), v("genes"), "position", "start_pos", "end_pos").select("snp_id", "gene")
 
 
-@query("SELECT snp_id, arg_min(position - from_start + to_start, block) AS lifted FROM variants JOIN chain ON position BETWEEN from_start AND from_end GROUP BY snp_id", "variants", "chain")
+@query("SELECT snp_id, arg_min(CASE WHEN to_chromosome = variants.chromosome THEN position - from_start + to_start ELSE 0 END, block) AS lifted FROM variants JOIN chain ON variants.chromosome = chain.chromosome AND position BETWEEN from_start AND from_end GROUP BY snp_id", "variants", "chain")
 def liftover_blocks(v, t):
     return intervals.lift(v("variants"), v("chain"))
 
@@ -280,7 +280,7 @@ _RANKED = "ranked AS (SELECT snp_id, weight, row_number() OVER (ORDER BY abs(wei
 @query(_sql([_RANKED], """SELECT s.sample_id, k.n_snp, round(coalesce(sum(CAST(dosage AS DOUBLE) * weight) FILTER (WHERE rank <= k.n_snp), 0), 6) AS score
   FROM (SELECT sample_id, dosage, weight, rank FROM gt JOIN ranked USING (snp_id) WHERE dosage IS NOT NULL) s, (SELECT unnest([15, 30, 40])::BIGINT AS n_snp) k GROUP BY 1, 2""", "gt", "weights"))
 def prs_prefix(v, t):
-    ranked = v("weights").where("snp_id < 40").withColumn("rank", F.row_number().over(Window.orderBy(F.abs("weight").desc(), "snp_id")))
+    ranked = v("weights").where("snp_id < 40").transform(lambda w: ranking.ranked(w, -F.abs("weight"), "snp_id"))
     return rounded(scoring.prefix_scores(v("gt"), ranked, 15, 40))
 
 
@@ -543,7 +543,7 @@ def _nested_sql(by: str) -> str:
 @query(_sql([_RANKED, """data AS (SELECT k.n_snp, s.sample_id, coalesce(sum(CAST(dosage AS DOUBLE) * weight) FILTER (WHERE rank <= k.n_snp), 0) AS score, any_value(trait) AS trait, any_value(cov1) AS cov1
   FROM (SELECT sample_id, dosage, weight, rank FROM gt JOIN ranked USING (snp_id) WHERE dosage IS NOT NULL) s JOIN pheno USING (sample_id), (SELECT unnest([15, 30, 40])::BIGINT AS n_snp) k GROUP BY 1, 2)"""], _nested_sql("n_snp, "), "gt", "weights", "pheno"))
 def prs_regression_metrics(v, t):
-    ranked = v("weights").where("snp_id < 40").withColumn("rank", F.row_number().over(Window.orderBy(F.abs("weight").desc(), "snp_id")))
+    ranked = v("weights").where("snp_id < 40").transform(lambda w: ranking.ranked(w, -F.abs("weight"), "snp_id"))
     data = scoring.prefix_scores(v("gt"), ranked, 15, 40).join(v("pheno"), "sample_id")
     out = evaluation.nested_r2(data, ["n_snp"], "trait", "cov1", "score")
     return rounded(out.drop("prs_f")).join(rounded(out.select("n_snp", "prs_f"), 4), "n_snp")

@@ -24,7 +24,8 @@ VIEWS = {
     "pheno": """SELECT c_custkey AS sample_id, c_acctbal AS trait, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 1 ELSE 0 END AS cc,
         CAST(c_nationkey AS DOUBLE) AS cov1, CAST(length(c_mktsegment) AS DOUBLE) AS cov2 FROM customer""",
     "weights": "SELECT p_partkey AS snp_id, CAST(p_size - 25 AS DOUBLE) / CAST(100 AS DOUBLE) AS weight FROM part WHERE p_partkey < 50",
-    "genes": "SELECT n_name AS gene, CAST(n_nationkey AS BIGINT) * 1600 AS start_pos, CAST(n_nationkey AS BIGINT) * 1600 + 900 AS end_pos FROM nation",
+    "genes": """SELECT concat(n_name, '_', chromosome) AS gene, chromosome, CAST(n_nationkey AS BIGINT) * 1600 + chromosome * 10 AS start_pos, CAST(n_nationkey AS BIGINT) * 1600 + chromosome * 10 + 900 AS end_pos
+        FROM nation CROSS JOIN (SELECT DISTINCT p_size % 22 + 1 AS chromosome FROM part) c""",
     "picks": """SELECT DISTINCT l_suppkey % 20 AS iteration, l_partkey % 40 AS snp_id, l_linenumber % 2 AS method,
         CAST(((l_suppkey % 20) * 7 + (l_partkey % 40) * 3 + (l_linenumber % 2) * 5) % 11 - 5 AS DOUBLE) / CAST(10 AS DOUBLE) AS beta FROM lineitem""",
     "series": """SELECT CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) AS idx, CAST(count(*) AS BIGINT) AS n_snp,
@@ -33,7 +34,9 @@ VIEWS = {
         FROM lineitem GROUP BY l_partkey % 400, l_linenumber""",
     "runs": """SELECT c_nationkey AS cut, c_custkey AS rep, CAST(1 + (c_custkey * 7919) % 1009 AS DOUBLE) / CAST(1013 AS DOUBLE) AS full_r2,
         CAST(1 + (c_custkey * 104729) % 1013 AS DOUBLE) / CAST(1019 AS DOUBLE) AS reduced_r2 FROM customer""",
-    "chain": "SELECT n_nationkey AS block, CAST(n_nationkey AS BIGINT) * 2000 AS from_start, CAST(n_nationkey AS BIGINT) * 2000 + 1500 AS from_end, CAST(n_nationkey AS BIGINT) * 2100 + 77 AS to_start FROM nation",
+    "chain": """SELECT CAST(n_nationkey AS BIGINT) * 100 + chromosome AS block, chromosome, CAST(n_nationkey AS BIGINT) * 2000 AS from_start, CAST(n_nationkey AS BIGINT) * 2000 + 1500 AS from_end,
+        CASE WHEN n_nationkey % 5 = 0 THEN chromosome + 1 ELSE chromosome END AS to_chromosome, CAST(n_nationkey AS BIGINT) * 2100 + 77 AS to_start
+        FROM nation CROSS JOIN (SELECT DISTINCT p_size % 22 + 1 AS chromosome FROM part) c""",
 }
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "labels")
 

@@ -15,7 +15,8 @@ CODES = np.array([2, -1, 1, 0], dtype=np.int8)
 CHROMOSOMES = {23: "X", 24: "Y", 25: "XY", 26: "MT"}
 FAM = "pedigree string, member string, father string, mother string, sex int, affected double"
 BIM = "chromosome string, snp_name string, morgans double, position long, allele_a string, allele_b string"
-CHUNK = 1 << 20
+CHUNK = 1 << 20  # calls that are decoded at once
+RANGE = 1 << 26  # bytes that one task reads
 
 
 def _numbered(df: DataFrame, name: str) -> DataFrame:
@@ -30,31 +31,48 @@ def read_tables(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
     return _numbered(read(f"{base}.bim", BIM), "snp_id"), _numbered(read(f"{base}.fam", FAM), "sample_id")
 
 
+def _opened(path: str):
+    """(file system, path within it) of a local path or a URI, as tasks see it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
 def read_genotypes(spark: SparkSession, base: str, n_samples: int, samples: list[int] | None = None, snps: tuple[int, int] | None = None) -> DataFrame:
-    """sample_id, snp_id, dosage of `base`.bed. Spark reads the file as fixed-size records of one variant each, so splits fall between variants.
+    """sample_id, snp_id, dosage of `base`.bed. A row of the plan is a range of whole variants, and its task reads those bytes only, so a file of any size is read in parallel.
 
-    `samples` (indices) and `snps` (a half-open range) are applied while decoding."""
+    `samples` (indices) and `snps` (a half-open range) choose what is read and decoded. The file's length must be that of whole variants."""
     width = -(-n_samples // 4)
     chosen = np.array(samples, dtype=np.int64) if samples is not None else np.arange(n_samples)
     if len(chosen) and (chosen.min() < 0 or chosen.max() >= n_samples):
         raise ValueError("sample indices must be within the file")
+    system, path = _opened(f"{base}.bed")
+    size = system.get_file_info(path).size
+    with system.open_input_file(path) as f:
+        if f.read_at(3, 0) != MAGIC:
+            raise ValueError("not a variant-major .bed file")
+    if not width or (size - 3) % width:
+        raise ValueError(f"{size - 3} bytes are no whole number of variants of {n_samples} samples")
+    lo, hi = max(0, snps[0]) if snps else 0, min(snps[1], (size - 3) // width) if snps else (size - 3) // width
+    each = max(1, RANGE // width)  # variants of a range
+    step = max(1, CHUNK // max(1, len(chosen)))
 
     def decode(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t in rows:
-            for content in t.content:
-                if bytes(content[:3]) != MAGIC:
-                    raise ValueError("not a variant-major .bed file")
-                body = np.frombuffer(content, dtype=np.uint8, offset=3).reshape(-1, width)
-                lo, hi = snps or (0, len(body))
-                step = max(1, CHUNK // max(1, len(chosen)))
-                for a in range(lo, min(hi, len(body)), step):
-                    part = body[a : min(a + step, hi)]
-                    calls = CODES[np.stack([(part >> s) & 3 for s in (0, 2, 4, 6)], axis=2).reshape(len(part), -1)[:, chosen]]
-                    d = pd.array(calls.ravel().astype("int32"), dtype="Int32")
-                    d[calls.ravel() < 0] = pd.NA
-                    yield pd.DataFrame({"sample_id": np.tile(chosen, len(part)), "snp_id": np.repeat(np.arange(a, a + len(part)), len(chosen)), "dosage": d})
-
-    return spark.read.format("binaryFile").load(f"{base}.bed").select("content").mapInPandas(decode, "sample_id long, snp_id long, dosage int")
+        system, path = _opened(f"{base}.bed")
+        with system.open_input_file(path) as f:
+            for t in rows:
+                for first in t.id:
+                    last = min(int(first) + each, hi)
+                    for a in range(int(first), last, step):
+                        n = min(step, last - a)
+                        part = np.frombuffer(f.read_at(n * width, 3 + a * width), dtype=np.uint8).reshape(n, width)
+                        calls = CODES[np.stack([(part >> s) & 3 for s in (0, 2, 4, 6)], axis=2).reshape(n, -1)[:, chosen]]
+                        d = pd.array(calls.ravel().astype("int32"), dtype="Int32")
+                        d[calls.ravel() < 0] = pd.NA
+                        yield pd.DataFrame({"sample_id": np.tile(chosen, n), "snp_id": np.repeat(np.arange(a, a + n), len(chosen)), "dosage": d})
+
+    ranges = max(1, -(-(hi - lo) // each))
+    return spark.range(lo, max(lo, hi), each, numPartitions=ranges).mapInPandas(decode, "sample_id long, snp_id long, dosage int")
 
 
 def encode(genotypes: DataFrame, n_samples: int) -> DataFrame:
