@@ -1,9 +1,12 @@
 """Language identification by cross-parsing entropy.
 
 One suffix automaton is built per language from labelled text. An unseen text is parsed greedily against it: a phrase is the longest
-substring of the reference from where the last phrase ended. The fewer phrases per symbol, the lower the cross entropy between
-the text and the language; the language with the fewest wins (ties: the value that sorts first). Texts are lower-cased letter by letter, and each run
-of other characters counts as one gap. The parse walks blocks of `BLOCK` symbols side by side, and a phrase ends with its block.
+substring of the reference from where the last phrase ended, or one symbol that the reference lacks. Phrases times the logarithm of the reference's size, over
+the text's symbols, estimate the cross entropy between the text and the language, where a symbol that the reference lacks counts twice (an escape and the symbol); the language with the least wins (ties: the value that sorts first). Texts
+are lower-cased letter by letter, and each run of other characters counts as one gap.
+
+Whole texts are parsed, every letter of the samples is told apart, and every label is learned. Blocks of `BLOCK` symbols are walked side by side; where a block
+begins inside a phrase it is walked again from the state that the block before it ends in, as far as the two walks differ, so blocks do not show in the result.
 
 A null text or one without a letter gives `und` and score 0. If no labelled row is left to learn from, every text gives `und`. Repeated
 rows are answered alike; a null doc_id keeps its row. Other columns are ignored.
@@ -11,12 +14,11 @@ rows are answered alike; a null doc_id keeps its row. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import code_points, fold, fold_of, slices
@@ -24,68 +26,90 @@ from .common import code_points, fold, fold_of, slices
 SAMPLE_ROWS = 60  # labelled rows per language that the automata are fitted on
 SAMPLE_SYMBOLS = 40_000  # symbols per language, to the end of the text that reaches them
 LONG = 4_000  # longer rows are sampled only where no others are left
-MOST_LANGUAGES = 200
-SYMBOLS = 120  # letters of the alphabet; others never match
+DENSE = 1 << 24  # cells of a table of transitions; larger ones are kept as sorted pairs, with the same result
 BLOCK = 512
+STATE, FLAG = (1 << 30) - 1, 1 << 30
 GAP = 0
 
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
-def automaton(text: np.ndarray, width: int) -> np.ndarray:
-    """Suffix automaton of a symbol sequence as a dense table [state, symbol]: next state, or -1."""
-    n = 2 * len(text) + 1
-    step = np.full((n, width), -1, dtype=np.int32)
-    link, length = [-1] * n, [0] * n
-    last, size = 0, 1
+def automaton(text: np.ndarray) -> list[dict[int, int]]:
+    """Suffix automaton of a symbol sequence: the transitions of each state; state 0 is the root."""
+    step: list[dict[int, int]] = [{}]
+    link, length = [-1], [0]
+    last = 0
     for c in text.tolist():
-        cur = size
-        size += 1
-        length[cur] = length[last] + 1
+        cur = len(step)
+        step.append({})
+        length.append(length[last] + 1)
+        link.append(0)
         p = last
-        while p >= 0 and step[p, c] < 0:
-            step[p, c] = cur
+        while p >= 0 and c not in step[p]:
+            step[p][c] = cur
             p = link[p]
-        if p < 0:
-            link[cur] = 0
-        else:
-            q = int(step[p, c])
+        if p >= 0:
+            q = step[p][c]
             if length[p] + 1 == length[q]:
                 link[cur] = q
             else:
-                clone = size
-                size += 1
-                length[clone] = length[p] + 1
-                step[clone] = step[q]
-                link[clone] = link[q]
-                while p >= 0 and step[p, c] == q:
-                    step[p, c] = clone
+                clone = len(step)
+                step.append(dict(step[q]))
+                length.append(length[p] + 1)
+                link.append(link[q])
+                while p >= 0 and step[p].get(c) == q:
+                    step[p][c] = clone
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    return step[:size]
-
-
-def parser(step: np.ndarray) -> np.ndarray:
-    """Total transitions for greedy parsing: low bits the next state, bit 30 set where a new phrase starts."""
-    root = np.where(step[0] >= 0, step[0], 0).astype(np.int32) | (1 << 30)
-    out = np.where(step >= 0, step, root[None, :]).astype(np.int32)
-    return np.ascontiguousarray(out)
+    return step
+
+
+class Parser:
+    """Total transitions for greedy parsing: the next state, with FLAG where the symbol begins a phrase."""
+
+    def __init__(self, text: np.ndarray, width: int, dense: int = DENSE) -> None:
+        """`text` holds symbols of an alphabet of `width`; those that it lacks share one column."""
+        own = np.unique(text)
+        self.local = np.full(width, len(own), dtype=np.int64)
+        self.local[own] = np.arange(len(own))
+        self.size, self.width = len(text), len(own) + 1
+        step = automaton(self.local[text])
+        self.root = np.full(self.width, FLAG, dtype=np.int64)
+        for c, to in step[0].items():
+            self.root[c] = to | FLAG
+        self.table = None
+        if len(step) * self.width <= dense:
+            self.table = np.tile(self.root.astype(np.int32), (len(step), 1))
+            for at, to in enumerate(step[1:], 1):
+                for c, v in to.items():
+                    self.table[at, c] = v
+            self.table = self.table.ravel()
+            return
+        pairs = sorted((at * self.width + c, v) for at, to in enumerate(step) if at for c, v in to.items())
+        self.keys, self.values = (np.array(x, dtype=np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, dtype=np.int64),) * 2
+
+    def __call__(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        key = state.astype(np.int64) * self.width + c
+        if self.table is not None:
+            return self.table[key]
+        if not len(self.keys):
+            return self.root[c].astype(np.int32)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at], self.root[c]).astype(np.int32)
 
 
 class Model:
-    """Alphabet and one parsing table per language."""
+    """Alphabet and one parser per language."""
 
-    def __init__(self, labelled: list[tuple[str, str]]) -> None:
-        letters: Counter = Counter()
+    def __init__(self, labelled: list[tuple[str, str]], dense: int = DENSE) -> None:
         by: dict[str, list[str]] = {}
         for lang, text in labelled:
             by.setdefault(lang, []).append(text)
-            letters.update(c for c in text.lower() if c.isalpha())
-        self.alphabet = "".join(c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:SYMBOLS])
+        self.alphabet = sorted({low(c) for _, text in labelled for c in set(text) if c.isalpha()})
         self.other = len(self.alphabet) + 1
         self.languages = sorted(by)
-        self.tables = [parser(automaton(self._reference(by[lang]), self.other + 1)) for lang in self.languages]
+        self.parsers = [Parser(self._reference(by[lang]), self.other + 1, dense) for lang in self.languages]
 
     def _reference(self, texts: list[str]) -> np.ndarray:
         """Whole texts, in the order given, until SAMPLE_SYMBOLS are reached."""
@@ -98,14 +122,13 @@ class Model:
         return np.concatenate(parts)
 
     def lut(self) -> np.ndarray:
-        """Symbol of each code point: gap, letters of the alphabet from 1, one symbol for all other letters."""
+        """Symbol of each code point: gap, letters of the samples from 1, one symbol for letters that no sample has."""
         at = {c: i + 1 for i, c in enumerate(self.alphabet)}
-        out = np.zeros(0x110000, dtype=np.uint8)
+        out = np.zeros(0x110000, dtype=np.int32)
         for i in range(0x110000):
             c = chr(i)
             if c.isalpha():
-                low = c.lower()
-                out[i] = at.get(low[0], self.other)
+                out[i] = at.get(low(c), self.other)
         return out
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,62 +143,84 @@ class Model:
         return s[keep], place[starts], letters[starts[1:]] - letters[starts[:-1]]
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Phrases [text, language], symbols and letters of each text."""
+        """Phrases and lacking symbols [text, language], and the letters of each text."""
         s, starts, letters = self.symbols(texts)
         size = np.diff(starts)
+        counts, lacks = np.zeros((2, len(texts), len(self.parsers)), dtype=np.int64)
         blocks = -(-size // BLOCK)
         owner = np.repeat(np.arange(len(texts)), blocks)
+        if not len(owner):
+            return counts, lacks, letters
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         begin = starts[:-1][owner] + nth * BLOCK
         length = np.minimum(BLOCK, starts[1:][owner] - begin)
         order = np.argsort(-length, kind="stable")
-        begin, length, owner = begin[order], length[order], owner[order]
-        counts = np.zeros((len(texts), len(self.tables)), dtype=np.int64)
-        if not len(owner):
-            return counts, size, letters
-        alive = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
-        state = np.zeros((len(self.tables), len(owner)), dtype=np.int32)
-        seen = np.zeros((len(self.tables), len(owner)), dtype=np.int32)
-        s = s.astype(np.int32)
-        for i in range(int(length[0])):
-            n = alive[i]
-            c = s[begin[:n] + i]
-            for k, t in enumerate(self.tables):
-                v = t.ravel()[state[k, :n] * t.shape[1] + c]
-                seen[k, :n] += v >> 30
-                state[k, :n] = v & ((1 << 30) - 1)
-        for k in range(len(self.tables)):
-            counts[:, k] = np.bincount(owner, weights=seen[k] + 1, minlength=len(texts)).astype(np.int64)
-        return counts, size, letters
+        alive = np.searchsorted(-length[order], -np.arange(1, length.max() + 1), side="right")
+        inner, follows = np.flatnonzero(nth > 0), np.concatenate([nth[1:] > 0, [False]])  # blocks that go on with a text, and those that are gone on with
+        for k, parser in enumerate(self.parsers):
+            c = parser.local[s]
+            walk = np.zeros(len(s), dtype=np.int32)
+            state = np.zeros(len(order), dtype=np.int32)
+            for i, n in enumerate(alive):
+                at = begin[order[:n]] + i
+                v = parser(state[:n], c[at])
+                walk[at] = v
+                state[:n] = v & STATE
+            todo = inner
+            while len(todo):
+                now = walk[begin[todo] - 1] & STATE
+                rest, ended = todo, []
+                for i in range(BLOCK):
+                    over = length[rest] <= i
+                    ended.append(rest[over])
+                    rest, now = rest[~over], now[~over]
+                    if not len(rest):
+                        break
+                    at = begin[rest] + i
+                    v = parser(now, c[at])
+                    differ = (v & STATE) != (walk[at] & STATE)
+                    walk[at] = v
+                    rest, now = rest[differ], v[differ] & STATE
+                ended = np.concatenate([*ended, rest])  # walked to the end without meeting the first walk: the next block's start has changed
+                todo = np.sort(ended[follows[ended]]) + 1
+            for out, one in ((counts, walk >> 30), (lacks, c == parser.width - 1)):
+                total = np.concatenate([[0], np.cumsum(one)])
+                out[:, k] = total[starts[1:]] - total[starts[:-1]]
+        return counts, lacks, letters
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        if not self.tables:
+        if not self.parsers:
             return [("und", 0.0)] * len(texts)
-        counts, size, letters = self.phrases(texts)
+        counts, lacks, letters = self.phrases(texts)
+        cost = (counts + lacks) * np.log([max(2, p.size) for p in self.parsers])  # dividing by the text's symbols would not change the order
         out = []
-        for c, n in zip(counts, letters):
+        for c, n in zip(cost, letters):
             if not n:
                 out.append(("und", 0.0))
                 continue
             best = int(np.argmin(c))
-            out.append((self.languages[best], float(1 / np.exp(-(c - c[best]).clip(0, 700).astype(float)).sum())))
+            out.append((self.languages[best], float(1 / np.exp(-(c - c[best]).clip(0, 700)).sum())))
         return out
 
 
+def low(c: str) -> str:
+    """A letter in lower case, as one letter."""
+    return c.lower()[0]
+
+
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on at most `sample_rows` labelled rows of each language (those whose ids hash lowest) outside the held-out fold."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 1))
-    langs = [r[0] for r in rows.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES).collect()]
-    got: list = []
-    for lang in langs:
-        part = rows.where(F.col("lang") == lang).select("lang", "text", "doc_id", (F.length("text") > LONG).alias("long"), F.xxhash64("doc_id").alias("h"))
-        got += [(r.lang, r.text) for r in part.orderBy("long", "h", "doc_id").limit(sample_rows).collect()]
-    return Model(got)
+    """Fits on at most `sample_rows` labelled rows of each language (those whose ids hash lowest, long ones last) outside the held-out fold. The ids are chosen in one pass, then their texts
+    are fetched; of rows that repeat an id in a language one counts."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 1)).select("lang", "text", "doc_id")
+    order = Window.partitionBy("lang").orderBy((F.length("text") > LONG), F.xxhash64("doc_id"), "doc_id")
+    ids = rows.select("lang", "doc_id", "text").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_rows).select("lang", "doc_id", "n")
+    got = rows.join(ids.groupBy("lang", "doc_id").agg(F.min("n").alias("n")), ["lang", "doc_id"]).groupBy("lang", "n").agg(F.min("text").alias("text")).collect()
+    return Model([(r.lang, r.text) for r in sorted(got, key=lambda r: (r.lang, r.n))])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, lang_pred, score."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_LANGUAGES * SAMPLE_SYMBOLS
+    held = docs.sparkSession.sparkContext.broadcast(model)  # SAMPLE_SYMBOLS and one text more a language, as a table of transitions
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value

@@ -267,18 +267,44 @@ def test_pieces_take_odd_rows(docs_of, odd_rows):
 # ---- language
 
 
-def test_automaton_parses_greedily():
-    text = np.array([1, 2, 3, 1, 2, 4], dtype=np.uint8)
-    t = langid.parser(langid.automaton(text, 6))
-
-    def parse(s):
-        state = n = 0
-        for c in s:
-            v = t[state, c]
-            n, state = n + (v >> 30), v & ((1 << 30) - 1)
-        return n + 1
-
-    assert parse([1, 2, 3, 1, 2, 4]) == 1 and parse([1, 2, 4, 3, 1]) == 2 and parse([5, 5]) == 3
+def brute_phrases(reference, text):
+    """Greedy longest matches by plain search; a symbol that the reference lacks is a phrase."""
+    n = at = 0
+    while at < len(text):
+        m = 1
+        while at + m < len(text) and text[at : at + m + 1] in reference:
+            m += 1
+        at, n = at + m, n + 1
+    return n
+
+
+@pytest.mark.parametrize("dense", [langid.DENSE, 0])
+def test_phrases_match_plain_search(dense):
+    rng = random.Random(6)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    samples = [("x", draw("abc ", 700)), ("y", draw("abd ", 300) + "中文字母" * 5), ("z", "ababab" * 40)]
+    model = langid.Model(samples, dense)
+    assert all((p.table is None) == (not dense) for p in model.parsers)
+    texts = [draw("abcd ", 3000), "ab" * 2000, samples[0][1] * 3, draw("中文字母 ", 900), "", "!!", "ééé", samples[2][1] * 9 + "c" + "ab" * 700, draw("abc ", langid.BLOCK), draw("abc ", langid.BLOCK + 1)]
+    plain = lambda t: re.sub(r"[^\w]+|\d+", " ", t + " ").lstrip()  # noqa: E731  (a text ends with a gap and does not begin with one)
+    counts, _, letters = model.phrases(texts)
+    for i, t in enumerate(texts):
+        assert counts[i].tolist() == [brute_phrases(plain(ref), plain(t)) for _, ref in samples], i
+        assert letters[i] == sum(c.isalpha() for c in t)
+
+
+def test_every_label_is_learned(docs_of, spark):
+    rng = random.Random(7)
+    rows, n = [], 0
+    for k in range(230):  # each with letters of its own
+        for _ in range(3):
+            rows.append((n, "".join(chr(0x4E00 + 40 * k + rng.randrange(40)) for _ in range(60)), f"l{k:03d}"))
+            n += 1
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(d, langid.fit(d)).collect()
+    held = [r for r in got if r.held_out]
+    lost = {lang for k, lang in enumerate(sorted({r[2] for r in rows})) if all(fold_of(3 * k + j) == 1 for j in range(3))}
+    assert all(r.lang_pred == rows[r.doc_id][2] for r in held if rows[r.doc_id][2] not in lost) and len(held) > 150
 
 
 def test_language_held_out(spark, docs_of, odd_rows):
