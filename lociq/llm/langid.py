@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import code_points, fold, fold_of, slices
+from .common import Scratch, code_points, fold, fold_of, slices
 
 SAMPLE_ROWS = 60  # labelled rows per language that the automata are fitted on
 SAMPLE_SYMBOLS = 40_000  # symbols per language, to the end of the text that reaches them
 LONG = 4_000  # longer rows are sampled only where no others are left
 DENSE = 1 << 24  # cells of a table of transitions; larger ones are kept as sorted pairs, with the same result
 BLOCK = 512
+MOST_SENT = 200_000  # sampled ids that every executor is sent; more are joined by a shuffle, with the same result
 STATE, FLAG = (1 << 30) - 1, 1 << 30
 GAP = 0
 
@@ -214,7 +215,9 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 1)).select("lang", "text", "doc_id")
     order = Window.partitionBy("lang").orderBy((F.length("text") > LONG), F.xxhash64("doc_id"), "doc_id")
     ids = rows.select("lang", "doc_id", "text").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_rows).select("lang", "doc_id", "n")
-    got = rows.join(ids.groupBy("lang", "doc_id").agg(F.min("n").alias("n")), ["lang", "doc_id"]).groupBy("lang", "n").agg(F.min("text").alias("text")).collect()
+    ids = Scratch(docs.sparkSession).keep(ids.groupBy("lang", "doc_id").agg(F.min("n").alias("n")), "ids")
+    few = ids.count() <= MOST_SENT  # sample_rows a language: the texts stay where they are unless there are very many languages
+    got = rows.join(F.broadcast(ids) if few else ids.hint("merge"), ["lang", "doc_id"]).groupBy("lang", "n").agg(F.min("text").alias("text")).collect()
     return Model([(r.lang, r.text) for r in sorted(got, key=lambda r: (r.lang, r.n))])
 
 
