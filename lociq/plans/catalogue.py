@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, intervals, lookups, merging, ranking, recode, relatedness, resampling, scoring
-from .registry import _BETAS, _COMPARED, _DRAW, _MAXIMA, _RAW, _SETS, _parts, _sql, query, rounded
+from ..operators import cleaning, evaluation, gwas, imputation, intervals, lookups, merging, mixed, ranking, recode, relatedness, reporting, resampling, scoring
+from .registry import _BETAS, _COMPARED, _DRAW, _LD, _MAXIMA, _RAW, _SETS, _ld, _parts, _sql, query, rounded
 
 # ---- look-ups ----------------------------------------------------------------------------------------------------------------------------------------------
 
@@ -320,3 +320,105 @@ def sample_components(v, t):
 def significant_components(v, t):
     values = relatedness.sample_components(v("gt2"), 3)[1]
     return t("nation").sparkSession.createDataFrame([(k + 1, *(round(float(x), 5) for x in row)) for k, row in enumerate(values)], "idx int, eigenvalue double, stat double, p double")
+
+
+# ---- association by several methods, filling, reports -------------------------------------------------------------------------------------------------------
+
+
+def _dataset(v, t):
+    from ..dataset import GenoDataset
+
+    return GenoDataset(v("gt"), v("variants").withColumn("chromosome", F.col("chromosome").cast("long")), t("customer").select(F.col("c_custkey").alias("sample_id")), v("pheno"), genome="hg19")
+
+
+@query()
+def gwa_combined(v, t):
+    out = gwas.gwa(_dataset(v, t), "cc", methods=("glm", "allelic"), how="simes")
+    return rounded(out.results.select("model", "snp_id", "method", "effect", "p"))
+
+
+@query()
+def gwa_logistic_covariates(v, t):
+    return rounded(mixed.logistic(v("gt"), v("pheno"), "cc", ["cov1", "cov2"]), 5)
+
+
+@query()
+def gwa_mixed(v, t):
+    return rounded(mixed.mixed(v("gt2"), v("pheno"), "trait", ["cov1"]), 4)
+
+
+@query()
+def gwa_permuted(v, t):
+    return mixed.permutation_p(v("gt2"), v("pheno"), "trait", 99)
+
+
+_RULES = """best AS (SELECT snp_id, arg_max(neighbour, (round(r2, 12), -neighbour)) AS neighbour FROM (SELECT snp1 AS snp_id, snp2 AS neighbour, r2 FROM ld UNION ALL SELECT snp2, snp1, r2 FROM ld) x WHERE r2 IS NOT NULL GROUP BY snp_id),
+  rules AS (SELECT b.snp_id, b.neighbour, h.dosage AS given, CAST(floor(avg(g.dosage) + 0.5) AS INT) AS fill FROM best b JOIN gt g ON g.snp_id = b.snp_id JOIN gt h ON h.snp_id = b.neighbour AND h.sample_id = g.sample_id
+  WHERE g.dosage IS NOT NULL AND h.dosage IS NOT NULL GROUP BY 1, 2, 3)"""
+
+
+@query(_sql([_LD, _RULES], """SELECT g.sample_id, g.snp_id, coalesce(g.dosage, r.fill) AS dosage FROM gt g LEFT JOIN best b ON b.snp_id = g.snp_id LEFT JOIN gt h ON h.snp_id = b.neighbour AND h.sample_id = g.sample_id
+  LEFT JOIN rules r ON r.snp_id = g.snp_id AND r.given = h.dosage""", "gt", "variants"))
+def impute_rules(v, t):
+    return imputation.impute_rules(v("gt"), _ld(v).withColumn("r2", F.round("r2", 12)))
+
+
+@query("SELECT a.snp_id AS snp1, b.snp_id AS snp2, round(avg(CASE WHEN a.dosage <> b.dosage THEN 1.0::DOUBLE ELSE 0 END), 6) AS distance FROM gt a JOIN gt b ON a.sample_id = b.sample_id AND a.snp_id <> b.snp_id JOIN variants v ON v.snp_id = a.snp_id JOIN variants w ON w.snp_id = b.snp_id AND v.chromosome = w.chromosome WHERE a.dosage IS NOT NULL AND b.dosage IS NOT NULL GROUP BY 1, 2", "gt", "variants")
+def chromosome_distance(v, t):
+    return rounded(imputation.by_chromosome(v("gt"), v("variants")))
+
+
+_OUT = """centre AS (SELECT quantile_cont(cov1, 0.5) AS m1, quantile_cont(trait, 0.5) AS m2 FROM pheno), away AS (SELECT sample_id, abs(cov1 - m1) AS d1, abs(trait - m2) AS d2 FROM pheno, centre),
+  spread AS (SELECT quantile_cont(d1, 0.5) * 1.4826::DOUBLE AS s1, quantile_cont(d2, 0.5) * 1.4826::DOUBLE AS s2 FROM away)"""
+
+
+@query(_sql([_OUT], "SELECT sample_id, round(sqrt(power(d1 / s1, 2) + power(d2 / s2, 2)), 6) AS distance FROM away, spread WHERE sqrt(power(d1 / s1, 2) + power(d2 / s2, 2)) > 1.7", "pheno"))
+def robust_outliers(v, t):
+    return rounded(cleaning.robust_outliers(v("pheno").select("sample_id", "cov1", "trait"), ["cov1", "trait"], 1.7))
+
+
+@query("SELECT CAST(CASE WHEN trait < 0 THEN 0 WHEN trait >= 9000 THEN 10 ELSE floor(trait / 1000) + 1 END AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS n FROM pheno GROUP BY 1", "pheno")
+def trait_histogram(v, t):
+    return reporting.histogram(v("pheno"), "trait", 0.0, 9000.0, 9)
+
+
+@query("SELECT cut, CAST(count(*) AS BIGINT) AS n, " + ", ".join(f"round(quantile_cont(full_r2, {q}), 6) AS q{int(100 * q)}" for q in (0.0, 0.25, 0.5, 0.75, 1.0)) + " FROM runs GROUP BY cut", "runs")
+def cut_quartiles(v, t):
+    return rounded(reporting.quartiles(v("runs"), "cut", "full_r2"))
+
+
+@query("SELECT cut, printf('%.2f ± %.2f', avg(full_r2), stddev_samp(full_r2)) AS full_r2, printf('%.2f ± %.2f', avg(reduced_r2), stddev_samp(reduced_r2)) AS reduced_r2 FROM runs WHERE cut IN (SELECT cut FROM runs GROUP BY cut HAVING count(*) > 1) GROUP BY cut", "runs")
+def report_table(v, t):
+    more = v("runs").groupBy("cut").count().where("count > 1").select("cut")
+    return reporting.mean_and_sd(v("runs").join(more, "cut", "left_semi"), "cut", ["full_r2", "reduced_r2"])
+
+
+_KNOWN = "known AS (SELECT snp_id, 'hg19' AS asm, chromosome, position FROM variants UNION ALL SELECT snp_id, 'hg38', chromosome, position + 5 FROM variants WHERE snp_id % 2 = 0)"
+
+
+def _known(v):
+    one = v("variants").select("snp_id", F.lit("hg19").alias("asm"), "chromosome", "position")
+    return one.unionByName(one.where("snp_id % 2 = 0").select("snp_id", F.lit("hg38").alias("asm"), "chromosome", (F.col("position") + 5).alias("position")))
+
+
+@query(_sql([_KNOWN], "SELECT v.snp_id, 'hg19' AS asm, v.chromosome, v.position FROM variants2 v ANTI JOIN (SELECT * FROM known WHERE asm = 'hg19') k ON v.snp_id = k.snp_id AND v.chromosome = k.chromosome AND v.position = k.position", "variants", "variants2"))
+def wrong_places(v, t):
+    return reporting.wrong_places(v("variants2").select("snp_id", F.lit("hg19").alias("asm"), "chromosome", "position"), _known(v))
+
+
+@query(_sql([_KNOWN], "SELECT asm, CAST(count(DISTINCT v.snp_id) AS BIGINT) AS hits, round(count(DISTINCT v.snp_id) / (SELECT count(*) FROM variants2)::DOUBLE, 6) AS share FROM variants2 v JOIN known k ON v.snp_id = k.snp_id AND v.chromosome = k.chromosome AND v.position = k.position GROUP BY asm", "variants", "variants2"))
+def guessed_assembly(v, t):
+    return rounded(reporting.guessed_assembly(v("variants2").select("snp_id", "chromosome", "position"), _known(v)))
+
+
+@query(_sql([_ASSOCIATIONS], "SELECT DISTINCT a.snp_id, trait, allele_b AS risk_allele, v.chromosome, v.position FROM associations a JOIN variants2 w ON a.snp_id = w.snp_id JOIN variants v ON v.snp_id = a.snp_id WHERE allele_b2 <> 'T'".replace("allele_b AS", "w.allele_b AS").replace("allele_b2", "w.allele_b"), "variants", "variants2"))
+def catalogue_variants(v, t):
+    a = _associations(t).join(v("variants2").select("snp_id", F.when(F.col("allele_b") == "T", "?").otherwise(F.col("allele_b")).alias("risk_allele")), "snp_id")
+    return reporting.catalogued([a.where("snp_id % 2 = 0"), a], v("variants"))
+
+
+@query(_sql([_RAW, "seen AS (SELECT regr_r2(trait, score) AS r2 FROM raw JOIN pheno USING (sample_id))"], "SELECT CAST((SELECT count(*) FROM weights SEMI JOIN variants2 USING (snp_id)) AS BIGINT) AS n_covered, round(r2, 6) AS r2 FROM seen", "gt", "weights", "variants2", "pheno"))
+def applied_score(v, t):
+    out = reporting.apply_score(v("gt"), v("variants2"), v("pheno"), v("weights"), "trait", "cov1")
+    r2 = evaluation.score_r2(out["scores"].withColumn("rep", F.lit(0)), v("pheno"), ["rep"], "trait")
+    return rounded(out["coverage"].select("n_covered").join(F.broadcast(r2.select("r2"))))

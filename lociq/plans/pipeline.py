@@ -94,3 +94,51 @@ def run(spark: SparkSession, data: GenoDataset, plan: Plan, workspace: str) -> d
 def adjusted_weights(results: DataFrame) -> DataFrame:
     """Weights of refitted effects: minus the estimate, and its odds ratio."""
     return association.repair(results).select("snp_id", (-F.col("effect")).alias("effect_weight"), F.exp(-F.col("effect")).alias("OR"))
+
+
+STRATEGIES = ("denovo", "evaluate", "validate", "external")
+CLEANUP = {"none": (), "intermediate": ("associations", "effects"), "all": ("associations", "effects", "frequencies", "metrics", "parts")}
+
+
+def with_retries(job: Callable[[], dict[str, DataFrame]], retries: int, lasting: tuple[type[Exception], ...] = (ValueError, KeyError, NotImplementedError)) -> dict[str, DataFrame]:
+    """The job's tables; it is begun again after an error, which costs only the steps that are not on disk. Wrong settings are not tried again."""
+    for left in range(retries, -1, -1):
+        try:
+            return job()
+        except lasting:
+            raise
+        except Exception:
+            if not left:
+                raise
+    raise AssertionError("unreachable")
+
+
+def cleanup(ws: Workspace, level: str) -> None:
+    """Deletes the steps that a finished run no longer needs."""
+    if level not in CLEANUP:
+        raise ValueError(f"cleanup is one of {', '.join(CLEANUP)}")
+    for name in CLEANUP[level]:
+        p = ws.spark._jvm.org.apache.hadoop.fs.Path(f"{ws.path}/{name}")
+        p.getFileSystem(ws.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def dispatch(strategy: str, spark: SparkSession, data: GenoDataset, plan: Plan, workspace: str, earlier: str | None = None, retries: int = 1) -> dict[str, DataFrame]:
+    """A run by strategy. denovo: all steps. evaluate and validate take the split and frequencies of an `earlier` workspace; evaluate reuses its effects, validate estimates them again on
+    this data. external takes only the frequencies and draws a new split."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy is one of {', '.join(STRATEGIES)}")
+    if strategy != "denovo":
+        if earlier is None:
+            raise ValueError(f"{strategy} needs an earlier workspace")
+        old, new = Workspace(spark, earlier), Workspace(spark, workspace)
+        new.settings({k: str(v) for k, v in asdict(plan).items()})
+        for name in {"evaluate": ("parts", "frequencies", "effects"), "validate": ("parts", "frequencies"), "external": ("frequencies",)}[strategy]:
+            if not old.has(name):
+                raise ValueError(f"{earlier} lacks {name}")
+            new.step(name, lambda name=name: spark.read.parquet(f"{old.path}/{name}"))
+    return with_retries(lambda: run(spark, data, plan, workspace), retries)
+
+
+def finished(workspaces: list[Workspace], names: tuple[str, ...] = ("parts", "associations", "frequencies", "effects", "metrics", "best")) -> dict[str, list[str]]:
+    """The steps that each workspace still lacks; an empty list is a finished run."""
+    return {w.path: [n for n in names if not w.has(n)] for w in workspaces}
