@@ -335,7 +335,7 @@ def test_toxicity_held_out(spark, docs_of, odd_rows):
     assert none is None and toxicity.score(odd, none).agg({"score": "max"}).first()[0] == 0 and toxicity.reject(odd, none).count() == len(odd_rows)
 
 
-def test_kneser_ney_probabilities_sum_to_one():
+def test_models_are_finite_and_tell_words_apart():
     m = toxicity.Model(["the cat sat", "a cat ran"], ["you idiot", "idiot cat"])
     assert len(m.seen.keys) and np.isfinite(m.seen.values).all() and np.isfinite(m.unseen.values).all()
     assert m.evidence(["idiot"])[0, 0] > m.evidence(["cat"])[0, 0]
