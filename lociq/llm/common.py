@@ -48,6 +48,7 @@ class Scratch:
         self.n += 1
         path = f"{self.base}/{self.n}_{name}"
         df.write.option("compression", "zstd").parquet(path)
+        trim_driver(self.spark)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._lociq_path = path
         return out
@@ -131,6 +132,7 @@ def release(spark: SparkSession) -> None:
     spark.range(1).write.format("noop").mode("overwrite").save()
     gc.collect()
     spark._jvm.System.gc()
+    trim_driver(spark)
 
 
 def surrogate(source: DataFrame) -> bool:
@@ -146,3 +148,26 @@ def trim() -> None:
     give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if give_back:
         give_back(0)
+
+
+def trim_driver(spark: SparkSession) -> None:
+    """trim() of the driver and of its JVM, whose C heap keeps what compilers and codecs have freed: hundreds of MB after some dozens of queries. A JVM that lacks the command is left as it is."""
+    from py4j.protocol import Py4JJavaError
+
+    trim()
+    jvm = spark._jvm
+    of = jvm.java.lang.Class.forName
+
+    def array(kind, *items):
+        out = spark.sparkContext._gateway.new_array(kind, len(items))
+        for i, x in enumerate(items):
+            out[i] = x
+        return out
+
+    # by reflection, as py4j finds no methods of the server's class, which its module hides
+    invoke = of("javax.management.MBeanServer").getMethod("invoke", array(jvm.java.lang.Class, *map(of, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"))))
+    server, command = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    try:
+        invoke.invoke(server, array(jvm.java.lang.Object, command, "systemTrimNativeHeap", None, None))
+    except Py4JJavaError:
+        pass

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, code_points, fold, fold_of, mix, seeds, slices
+from .common import U64, Scratch, code_points, fold, fold_of, mix, seeds, slices, trim_driver
 
 SAMPLE_ROWS = 1500  # labelled rows of each class for the curve; the models count every row
 HELD_GRAMS = 1_000_000  # n-grams that a task adds up before it sends them
@@ -302,6 +302,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     if not toxic.any() or toxic.all():
         return None
     model.fit_curve(x, toxic)
+    del grams
+    trim_driver(docs.sparkSession)  # what counting and sorting the n-grams took here
     return model
 
 

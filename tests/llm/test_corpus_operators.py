@@ -9,6 +9,7 @@ import pytest
 
 import corpus_pipeline
 from lociq.llm import lattice, media, minhash, suffixes
+from lociq.llm.common import Scratch
 
 
 def brute_repeats(texts, length):
@@ -325,3 +326,19 @@ def test_pipeline_on_its_own_rules(spark):
             assert after.count() > 0 and after.select("doc_id").distinct().count() == before.count()
         before = after
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_written_tables_give_back_what_the_driver_has_freed(spark):
+    """Native memory that the driver's JVM frees between the writes of a long run returns to the system."""
+    jvm = spark._jvm
+    status = f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/status"
+    used = lambda: int(re.search(r"RssAnon:\s+(\d+)", open(status).read())[1]) / 1024
+    scratch = Scratch(spark)
+    scratch.keep(spark.range(10))
+    held = [jvm.java.util.zip.Deflater() for _ in range(3000)]
+    for d in held[:-1]:  # the last holds the end of the C heap, which shrinks from there only
+        d.end()
+    before = used()
+    scratch.keep(spark.range(10))
+    held[-1].end()
+    assert used() < before - 120
