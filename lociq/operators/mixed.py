@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
 from . import association
 
-MOST_SAMPLES = 4000  # of a mixed model: its matrix of samples by samples is decomposed on the driver, and each task holds one
+MOST_SAMPLES = 4000  # of a mixed model that has no fewer variants: its matrix of samples by samples is decomposed on the driver, and each task holds one
 TEST = "snp_id long, n long, effect double, se double, stat double, p double"
 
 
@@ -100,16 +101,116 @@ def _matrix(gt: DataFrame, order: list[int]) -> np.ndarray:
     return out / max(1, variants)
 
 
-def variance_ratio(values: np.ndarray, y: np.ndarray, x: np.ndarray) -> float:
-    """Ratio of residual to kinship variance with the greatest restricted likelihood; y and x are rotated by the kinship's eigenvectors."""
-    n, q = x.shape
+def _sum_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    row, total = None, 0.0
+    for t in parts:
+        for k in range(t.num_rows):
+            row, total = t.column(0)[k].as_py(), total + t.column(1).slice(k, 1).flatten().to_numpy()
+    yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([total], pa.list_(pa.float64()))], ["row", "v"])
+
+
+def _products(gt: DataFrame, p: DataFrame, ids: list[int], names: list[str], means: list[float]) -> np.ndarray:
+    """Products over samples of the columns dosage (0 where not called) and called of each variant in `ids`, one, and each of `names` less its mean.
+
+    A task holds one such table and 256 samples; counts and sums of whole dosages are exact. Samples are never gathered."""
+    known = np.array(ids, dtype=np.int64)
+    m, k = len(ids), 2 * len(ids) + 1 + len(names)
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros((k, k)), 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                t = batch.slice(start, 256)
+                cells, n = t.column(0), t.num_rows
+                at = np.repeat(np.arange(n), cells.value_lengths().to_numpy())
+                flat = cells.flatten()
+                place = np.searchsorted(known, flat.field(0).to_numpy())
+                x = np.zeros((n, k))
+                x[at, place] = flat.field(1).to_numpy()
+                x[at, m + place] = 1
+                x[:, 2 * m] = 1
+                for i, mean in enumerate(means):
+                    x[:, 2 * m + 1 + i] = t.column(1 + i).to_numpy() - mean
+                total += x.T @ x
+                seen += n
+        for i in range(0, k if seen else 0, 256):
+            yield pa.RecordBatch.from_arrays([pa.array(range(i, min(i + 256, k)), pa.int64()), pa.array(list(total[i : i + 256]), pa.list_(pa.float64()))], ["row", "v"])
+
+    cells = gt.groupBy("sample_id").agg(F.collect_list(F.struct(F.col("snp_id").cast("long"), F.col("dosage").cast("double"))).alias("cells"))
+    rows = cells.join(p, "sample_id").select("cells", *names).mapInArrow(block, "row long, v array<double>")
+    out = np.zeros((k, k))
+    for r in rows.groupBy("row").applyInArrow(_sum_rows, "row long, v array<double>").collect():  # one table
+        out[r.row] = r.v
+    return out
+
+
+def _by_variants(gt: DataFrame, p: DataFrame, ids: list[int], covariates: list[str], n: int) -> DataFrame:
+    """mixed() of any number of samples and fewer variants. The kinship Z Z' / m has the eigenvalues of the small Z' Z / m, and zero for all directions that Z does
+    not span; what a sum over those holds is the whole product of two columns less the part that Z spans."""
+    names = ["y", *covariates]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    seen = p.agg(*[F.avg(c) for c in names], *[F.covar_pop(a, b) for a, b in pairs]).first()
+    own = np.zeros((1 + len(names), 1 + len(names)))
+    own[0, 0] = n
+    for (a, b), v in zip(pairs, seen[len(names) :]):
+        i, j = 1 + names.index(a), 1 + names.index(b)
+        own[i, j] = own[j, i] = n * v
+    every, m = _products(gt, p, ids, names, list(seen[: len(names)])), len(ids)
+    xx, xc, cc = every[:m, :m], every[:m, m : 2 * m], every[m : 2 * m, m : 2 * m]
+    called, sums = np.diag(cc), np.diag(xc)
+    spread = np.diag(xx) * called - sums * sums
+    vary = np.flatnonzero((called > 1) & (spread > 1e-12 * np.diag(xx) * called))
+    mean = (sums / np.maximum(called, 1))[vary]
+    sd = np.sqrt(spread[vary] / (called[vary] * (called[vary] - 1)))
+    xc, cc = xc[np.ix_(vary, vary)], cc[np.ix_(vary, vary)]
+    gram = (xx[np.ix_(vary, vary)] - mean[:, None] * xc.T - mean * xc + np.outer(mean, mean) * cc) / np.outer(sd, sd)
+    with_own = (every[vary, 2 * m :] - mean[:, None] * every[m + vary, 2 * m :]) / sd[:, None]
+    size, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    held = size > 1e-12 * max(size.max(initial=0), 1e-300)
+    size, vectors = size[held], vectors[:, held]
+    turned = (vectors / np.sqrt(size)).T @ with_own
+    apart, x, y = own - turned.T @ turned, np.delete(turned, 1, axis=1), turned[:, 1]
+    values, order = size / max(1, len(vary)), [1, 0, *range(2, 1 + len(names))]
+    apart = apart[np.ix_(order, order)]  # of the response, then one and the covariates
+    ratio = variance_ratio(values, y, x, n - len(size), apart)
+    w = 1 / (values + ratio)
+    length = lambda c: max(float(c @ apart @ c), 0.0) / ratio
+    a = (x * w[:, None]).T @ x + apart[1:, 1:] / ratio
+    b0 = np.linalg.solve(a, (x * w[:, None]).T @ y + apart[1:, 0] / ratio)
+    rest, df = y - x @ b0, n - len(b0) - 1
+    rows = vectors * np.sqrt(size) * sd[:, None]  # the variants, which Z spans
+    place = {j: i for i, j in enumerate(vary)}
+    out = []
+    for j, snp in enumerate(ids):
+        r = rows[place[j]] if j in place else np.zeros(len(w))
+        c = np.linalg.solve(a, (x * w[:, None]).T @ r)
+        r0 = r - x @ c
+        norm = float((w * r0 * r0).sum()) + length(np.array([0, *c]))
+        if norm < 1e-10 or df <= 0:
+            out.append((snp, int(called[j]), None, None, None, None, 0.0))
+            continue
+        ridge = float((w * r * rest).sum())
+        b = ridge / norm
+        se = float(np.sqrt(((w * (rest - b * r0) ** 2).sum() + length(np.array([1, *(b * c - b0)]))) / df / norm))
+        out.append((snp, int(called[j]), b, se, b / se, stats.t_two_sided(b / se, df), ridge))
+    return gt.sparkSession.createDataFrame(out, TEST + ", ridge double")
+
+
+def variance_ratio(values: np.ndarray, y: np.ndarray, x: np.ndarray, zeros: int = 0, apart: np.ndarray | None = None) -> float:
+    """Ratio of residual to kinship variance with the greatest restricted likelihood; y and x are rotated by the kinship's eigenvectors.
+
+    `zeros` more eigenvalues are zero, and `apart` has the products of y and the columns of x in their directions."""
+    q = x.shape[1]
+    n = len(values) + zeros
+    apart = np.zeros((q + 1, q + 1)) if apart is None else apart
 
     def score(log_ratio: float) -> float:
-        d = values + np.exp(log_ratio)
-        a = (x / d[:, None]).T @ x
-        b = np.linalg.solve(a, (x / d[:, None]).T @ y)
-        r = y - x @ b
-        return -0.5 * ((n - q) * np.log((r * r / d).sum()) + np.log(d).sum() + np.linalg.slogdet(a)[1])
+        ratio = np.exp(log_ratio)
+        d = values + ratio
+        a = (x / d[:, None]).T @ x + apart[1:, 1:] / ratio
+        b = np.linalg.solve(a, (x / d[:, None]).T @ y + apart[1:, 0] / ratio)
+        r, c = y - x @ b, np.array([1, *-b])
+        return -0.5 * ((n - q) * np.log((r * r / d).sum() + c @ apart @ c / ratio) + np.log(d).sum() + zeros * log_ratio + np.linalg.slogdet(a)[1])
 
     grid = np.linspace(-10, 10, 81)
     at = grid[int(np.argmax([score(g) for g in grid]))]
@@ -124,11 +225,19 @@ def mixed(gt: DataFrame, pheno: DataFrame, response: str, covariates: list[str]
     """snp_id, n, effect, se, stat, p, ridge of response ~ covariates + dosage + a random effect with the samples' kinship.
 
     The variance ratio is found once without variants, then each variant is tested by generalised least squares on rotated data, in tasks that hold the
-    rotation. `ridge` is the variant's effect where all variants are random. Missing cells count as the variant's mean. Samples are bounded by MOST_SAMPLES."""
-    p = pheno.select("sample_id", F.col(response).cast("double").alias("y"), *[F.col(c).cast("double") for c in covariates]).dropna().orderBy("sample_id")
-    got = p.limit(MOST_SAMPLES + 1).toPandas()
+    rotation. `ridge` is the variant's effect where all variants are random. Missing cells count as the variant's mean. Samples are not bounded where there are
+    fewer variants than samples, and at most half of MOST_SAMPLES (theirs is a table of two columns a variant); otherwise they are, by MOST_SAMPLES."""
+    p = pheno.select("sample_id", F.col(response).cast("double").alias("y"), *[F.col(c).cast("double") for c in covariates]).dropna()
+    most = MOST_SAMPLES // 2
+    if kinship is None:
+        called = gt.where("dosage is not null and snp_id is not null")
+        ids = sorted(r.snp_id for r in called.select("snp_id").distinct().limit(most + 1).collect())
+        samples = p.count()
+        if len(ids) <= most and len(ids) < samples:
+            return _by_variants(called, p, ids, list(covariates), samples)
+    got = p.orderBy("sample_id").limit(MOST_SAMPLES + 1).toPandas()
     if len(got) > MOST_SAMPLES:
-        raise ValueError(f"a mixed model takes at most {MOST_SAMPLES} samples; use linear_adjusted with principal components beyond that")
+        raise ValueError(f"a mixed model takes at most {MOST_SAMPLES} samples, or more where there are at most {most} variants; use linear_adjusted with principal components beyond that")
     order = [int(s) for s in got.sample_id]
     n = len(order)
     k = _matrix(gt.join(p.select("sample_id"), "sample_id", "left_semi"), order) if kinship is None else kinship

@@ -61,6 +61,23 @@ def test_mixed_model_is_least_squares_without_kinship(spark):
             mixed.MOST_SAMPLES = keep
 
 
+def test_mixed_model_of_more_samples_than_the_bound(spark, monkeypatch):
+    d = dataset(spark, 50, 6)
+    bare = spark.createDataFrame([(90 + i, float(i), float(i * i % 7)) for i in range(5)], "sample_id long, trait double, cov double")  # without genotypes
+    pheno = d.phenotypes.unionByName(bare)
+    same = d.genotypes.where("snp_id = 0").selectExpr("sample_id", "6L as snp_id", "1 as dosage")
+    away = spark.createDataFrame([(500, 7, 1), (501, 1, 2)], "sample_id long, snp_id long, dosage int")
+    gt = d.genotypes.unionByName(same).unionByName(away)
+    order = sorted(r.sample_id for r in pheno.collect())
+    k = mixed._matrix(gt.join(pheno.select("sample_id"), "sample_id", "left_semi"), order)
+    want = {r.snp_id: r for r in mixed.mixed(gt, pheno, "trait", ["cov"], kinship=k).collect()}
+    monkeypatch.setattr(mixed, "MOST_SAMPLES", 20)
+    got = {r.snp_id: r for r in mixed.mixed(gt.repartition(5), pheno, "trait", ["cov"]).collect()}
+    assert got.keys() == want.keys() and len(want) == 8 and want[6].p is None and want[7].n == 0
+    for j, r in want.items():
+        assert all(a == b or a == pytest.approx(b, rel=1e-5) for a, b in zip(got[j], r)), (got[j], r)
+
+
 def test_permutation_p_repeats_and_finds_the_effect(spark):
     d = dataset(spark, 120, 4)
     a, b = ({r.snp_id: r.p for r in mixed.permutation_p(d.genotypes.repartition(n), d.phenotypes, "trait", 199).collect()} for n in (1, 4))
