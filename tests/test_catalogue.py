@@ -29,6 +29,30 @@ def test_components_match_a_decomposition(spark):
     assert relatedness.components_needed([(1, 0, 0.9)]) == 1
 
 
+def calls(d, n, m):
+    x = np.full((n, m), np.nan)
+    for r in d.genotypes.collect():
+        if r.dosage is not None:
+            x[r.sample_id, r.snp_id] = r.dosage
+    return x
+
+
+def test_kinship_compares_blocks_of_samples(spark, monkeypatch):
+    monkeypatch.setattr(relatedness, "BLOCK_CELLS", 1, raising=False)  # blocks of 64 samples
+    d = dataset(spark, 150, 8)
+    x = calls(d, 150, 8)
+    alone = spark.createDataFrame([(900, 99, 1), (901, 98, 2)], "sample_id long, snp_id long, dosage int")  # share no variant with any
+    for slope in (0, 0.001):  # whole dosages, and many levels
+        df = relatedness.kinship(d.genotypes.unionByName(alone).withColumn("dosage", F.col("dosage") * (1 - F.col("sample_id") * F.lit(slope))), 0.2)
+        assert "Join" not in df._jdf.queryExecution().toString()
+        got = {(r.s1, r.s2): (r.n, r.ibs) for r in df.collect()}
+        y = x * (1 - np.arange(150)[:, None] * slope)
+        diff = np.abs(y[:, None] - y)
+        n, ibs = (~np.isnan(diff)).sum(axis=2), 1 - np.nanmean(diff, axis=2) / 2
+        want = {(i, j): (n[i, j], pytest.approx(ibs[i, j])) for i in range(150) for j in range(i + 1, 150) if ibs[i, j] >= 0.2}
+        assert got == want and len(got) > 5000
+
+
 def test_tracy_widom_tail_at_published_quantiles():
     for x, p in ((0.9793, 0.05), (2.0234, 0.01), (0.4501, 0.1)):  # fixed values: upper quantiles of the law of order 1
         assert stats.tracy_widom_upper(x) == pytest.approx(p, rel=0.05)
