@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociq.functions import stats
-from lociq.operators import evaluation, lookups, ranking, recode, relatedness
+from lociq.operators import evaluation, lookups, qc, ranking, recode, relatedness
 from lociq.plans import pipeline
 from lociq.sources import plink
 from tests.test_library import dataset
@@ -53,6 +53,29 @@ def test_kinship_compares_blocks_of_samples(spark, monkeypatch):
         assert got == want and len(got) > 5000
 
 
+def moments(x):
+    p = np.nanmean(x, axis=0) / 2
+    p = np.minimum(p, 1 - p)
+    q, both, diff = 1 - p, ~np.isnan(x[:, None] + x), np.abs(x[:, None] - x)
+    both &= p > 0
+    e00, e10, e11 = ((both * e).sum(axis=2) for e in (2 * p * p * q * q, 4 * p**3 * q + 4 * p * q**3, 2 * p * p * q + 2 * p * q * q))
+    z0 = np.clip((both * (diff == 2)).sum(axis=2) / e00, 0, 1)
+    z1 = np.maximum(0, np.minimum(1 - z0, ((both * (diff == 1)).sum(axis=2) - z0 * e10) / e11))
+    return z1 / 4 + (1 - z0 - z1) / 2
+
+
+def test_kinship_by_moments_compares_blocks_of_samples(spark, monkeypatch):
+    monkeypatch.setattr(relatedness, "BLOCK_CELLS", 1, raising=False)
+    d = dataset(spark, 150, 8)
+    alike = spark.range(150).selectExpr("id as sample_id", "77L as snp_id", "2 as dosage")  # does not vary
+    gt = d.genotypes.unionByName(alike)
+    df = relatedness.kinship_moments(gt, qc.variant_summary(gt, 150))
+    assert "s2" not in df._jdf.queryExecution().analyzed().toString().split("FlatMapGroupsInArrow", 1)[1].split("\n", 1)[1]  # pairs are made in the tasks, not by a join
+    want = moments(calls(d, 150, 8))
+    got = {(r.s1, r.s2): r.kinship for r in df.collect()}
+    assert got == {(i, j): pytest.approx(want[i, j], abs=1e-9) for i in range(150) for j in range(i + 1, 150)}
+
+
 def test_tracy_widom_tail_at_published_quantiles():
     for x, p in ((0.9793, 0.05), (2.0234, 0.01), (0.4501, 0.1)):  # fixed values: upper quantiles of the law of order 1
         assert stats.tracy_widom_upper(x) == pytest.approx(p, rel=0.05)
