@@ -56,8 +56,7 @@ def cleaned(data: GenoDataset, filters: qc.Filters, chain: Chain) -> GenoDataset
     step = lambda name, value, n: spark.createDataFrame([("chain", name, float(value), "sample", int(n))], "parameter string, name string, value double, type string, filtered long")
     if chain.kinship is not None:
         some = out.subset(pruned(out, chain.ld, chain.window)) if chain.ld is not None else out
-        kin = relatedness.kinship_moments(some.genotypes, qc.variant_summary(some.genotypes, out.samples.count()))
-        bad = relatedness.related_samples(kin, chain.kinship)
+        bad = relatedness.relatives(some.genotypes, qc.variant_summary(some.genotypes, out.samples.count()), chain.kinship)
         log = log.unionByName(step("kinship", chain.kinship, bad.count()))
         out = settled(out.subset(samples=out.samples.join(bad, "sample_id", "left_anti"), strict=False))
     if chain.impute:

@@ -121,7 +121,7 @@ def _all_pairs(blocks: DataFrame, n: int, measure: Callable[[_Pairs, slice], tup
     fields = [(c.split()[0], pa.int64() if c.endswith(" long") else pa.float64()) for c in ["s1 long", "s2 long", *schema.split(", ")]]
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [({t.column(0)[k].as_py(), t.column(1)[k].as_py()}, t.column(2)[k].as_py(), _unpacked(*(t.column(c).slice(k, 1).flatten().to_numpy() for c in (3, 4, 5)), t.column(6)[k].as_py(), t.column(7)[k].as_py())) for t in parts for k in range(t.num_rows)]
+        rows = [({t.column(0)[k].as_py(), t.column(1)[k].as_py()}, t.column(2)[k].as_py(), _block_of(t.slice(k, 1), 3)) for t in parts for k in range(t.num_rows)]
         if len(rows) < len(rows[0][0]):  # the other block has no samples
             return
         rows.sort(key=lambda r: r[1])
@@ -213,6 +213,45 @@ def related_samples(kinship: DataFrame, least: float) -> DataFrame:
     return near.select(F.col("s1").alias("sample_id")).union(near.select("s2")).distinct()
 
 
+def relatives(gt: DataFrame, variants_summary: DataFrame, least: float) -> DataFrame:
+    """related_samples(kinship_moments(...), least) without the table of pairs. Samples that have a relative within their block are settled there; the others only are compared with all blocks."""
+    blocks, n = _blocks(_with_frequency(gt, variants_summary))
+
+    def own(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in parts:
+            for k in range(t.num_rows):
+                row = t.slice(k, 1)
+                a = _block_of(row, 1)
+                p, near = _Pairs(a, a), np.zeros(len(a[0]), bool)
+                for rows in p.slices():
+                    kin = _moments_kinship(p, rows)
+                    near[rows] = ((kin >= least) & (p.ids[rows][:, None] != p.others)).any(axis=1)
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([near], pa.list_(pa.bool_()))], [*row.schema.names, "near"])
+
+    def others(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in parts:
+            for k in range(t.num_rows):
+                row = t.slice(k, 1).select(t.schema.names[2:])
+                (ids, snps, share, x), b = _block_of(row, 0), _block_of(row, 6)
+                rest = ~row.column(5).flatten().to_numpy(zero_copy_only=False)
+                p = _Pairs((ids[rest], snps, share, x[rest]), b)
+                near = [p.ids[rows][(_moments_kinship(p, rows) >= least).any(axis=1)] for rows in p.slices()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(near), pa.int64())], ["sample_id"])
+
+    settled = blocks.mapInArrow(own, BLOCK + ", near array<boolean>")
+    done = settled.select(F.explode(F.arrays_zip("ids", "near")).alias("x")).where("x.near").select(F.col("x.ids").alias("sample_id"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("other")
+    left = settled.where(F.exists("near", lambda x: ~x)).select("block", "ids", "snps", "share", "kind", "cells", "near", every).where("other <> block")
+    columns = ["ids", "snps", "share", "kind", "cells"]
+    pairs = left.join(blocks.select(F.col("block").alias("other"), *[F.col(c).alias(f"{c}2") for c in columns]), "other").select("block", "other", *columns, "near", *[f"{c}2" for c in columns])
+    pairs = pairs.groupBy("block", "other").applyInArrow(others, "sample_id long")
+    return done.unionByName(pairs).distinct()
+
+
+def _block_of(row: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return _unpacked(*(row.column(at + c).flatten().to_numpy() for c in range(3)), row.column(at + 3)[0].as_py(), row.column(at + 4)[0].as_py())
+
+
 def standardised(gt: DataFrame) -> DataFrame:
     """sample_id, snp_id, z of called cells; variants that do not vary are left out. A missing cell is absent, which is the variant's mean."""
     s = gt.where("dosage is not null").groupBy("snp_id").agg(F.avg("dosage").alias("m"), F.stddev_samp("dosage").alias("sd")).where("sd > 0")

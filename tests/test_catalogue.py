@@ -76,6 +76,19 @@ def test_kinship_by_moments_compares_blocks_of_samples(spark, monkeypatch):
     assert got == {(i, j): pytest.approx(want[i, j], abs=1e-9) for i in range(150) for j in range(i + 1, 150)}
 
 
+def test_relatives_in_other_blocks(spark, monkeypatch):
+    monkeypatch.setattr(relatedness, "BLOCK_CELLS", 1, raising=False)
+    d = dataset(spark, 150, 24)
+    want, v = moments(calls(d, 150, 24)), qc.variant_summary(d.genotypes, 150)
+    np.fill_diagonal(want, 0)
+    sizes = set()
+    for least in (0.1, 0.3, 0.35, 0.6):
+        got = sorted(r.sample_id for r in relatedness.relatives(d.genotypes, v, least).collect())
+        assert got == list(np.flatnonzero((want >= least).any(axis=1)))
+        sizes.add(len(got))
+    assert len(sizes) > 1
+
+
 def test_tracy_widom_tail_at_published_quantiles():
     for x, p in ((0.9793, 0.05), (2.0234, 0.01), (0.4501, 0.1)):  # fixed values: upper quantiles of the law of order 1
         assert stats.tracy_widom_upper(x) == pytest.approx(p, rel=0.05)
