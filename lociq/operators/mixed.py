@@ -24,15 +24,20 @@ def _cells(gt: DataFrame, pheno: DataFrame, response: str, covariates: list[str]
     return gt.where("dosage is not null").join(p, "sample_id").select("snp_id", "sample_id", association.recode(model).cast("double").alias("_x"), "_y", "_c")
 
 
-def logistic_fit(x: np.ndarray, y: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Coefficients, standard errors and convergence of a 0/1 response by Newton's method; classes that separate do not converge."""
+def logistic_fit(x: np.ndarray, y: np.ndarray, rounds: int = 25, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Coefficients, standard errors and convergence of a 0/1 response by Newton's method; classes that separate do not converge. `times` is how often each row stands."""
     b = np.zeros(x.shape[1])
+    times = np.ones(len(y)) if times is None else times
     info, done = np.eye(len(b)), False
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(x @ b).clip(-30, 30)))
-        info = (x * (p * (1 - p))[:, None]).T @ x
+        info, slope = np.zeros((len(b), len(b))), np.zeros(len(b))
+        for i in range(0, len(y), 65536):
+            part, t = x[i : i + 65536], times[i : i + 65536]
+            p = 1 / (1 + np.exp(-(part @ b).clip(-30, 30)))
+            info += (part * (t * p * (1 - p))[:, None]).T @ part
+            slope += part.T @ (t * (y[i : i + 65536] - p))
         try:
-            step = np.linalg.solve(info, x.T @ (y - p))
+            step = np.linalg.solve(info, slope)
         except np.linalg.LinAlgError:
             return b, np.full(len(b), np.nan), False
         b = b + step
@@ -43,17 +48,28 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, rounds: int = 25) -> tuple[np.nda
 
 
 def logistic(gt: DataFrame, pheno: DataFrame, response: str, covariates: list[str], model: str = "additive") -> DataFrame:
-    """snp_id, n, effect, se, stat, p, converged, low, high (95 % limits of the odds ratio) of a 0/1 response ~ covariates + dosage. A task holds one variant's samples at a time."""
-
-    def fit(t: pd.DataFrame) -> pd.DataFrame:
-        x = np.column_stack([np.ones(len(t)), *(np.stack(t["_c"].to_list()).T if len(t["_c"].iloc[0]) else ()), t["_x"]])
-        b, se, done = logistic_fit(x, t["_y"].to_numpy())
+    """snp_id, n, effect, se, stat, p, converged, low, high (95 % limits of the odds ratio) of a 0/1 response ~ covariates + dosage.
+
+    Equal rows of a variant are counted before they meet. A task then holds one variant's distinct rows as plain numbers: as many as samples where a covariate is continuous."""
+
+    def fit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        snp, rows = None, []
+        for t in parts:
+            snp = t.column(0)[0].as_py()
+            c = t.column(3).flatten().to_numpy().reshape(t.num_rows, len(covariates))
+            rows.append(np.column_stack([np.ones(t.num_rows), c, t.column(1).to_numpy(), t.column(2).to_numpy(), t.column(4).to_numpy()]))
+        rows = np.concatenate(rows)
+        n = int(rows[:, -1].sum())
+        b, se, done = logistic_fit(rows[:, :-2], rows[:, -2], times=rows[:, -1])
         e, s = float(b[-1]), float(se[-1])
-        ok = done and s > 0
-        z = e / s if ok else np.nan
-        return pd.DataFrame([(t.snp_id.iloc[0], len(t), e if ok else None, s if ok else None, z if ok else None, stats.normal_two_sided(z) if ok else None, ok, float(np.exp(e - 1.959964 * s)) if ok else None, float(np.exp(e + 1.959964 * s)) if ok else None)])
+        ok = bool(done and s > 0)
+        z = e / s if ok else None
+        out = (snp, n, e, s, z, stats.normal_two_sided(z), True, float(np.exp(e - 1.959964 * s)), float(np.exp(e + 1.959964 * s))) if ok else (snp, n, None, None, None, None, False, None, None)
+        types = [pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.bool_(), pa.float64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(out, types)], [*(c.split()[0] for c in TEST.split(", ")), "converged", "low", "high"])
 
-    return _cells(gt, pheno, response, covariates, model).groupBy("snp_id").applyInPandas(lambda t: fit(t).set_axis([*(c.split()[0] for c in TEST.split(", ")), "converged", "low", "high"], axis=1), TEST + ", converged boolean, low double, high double")
+    rows = _cells(gt, pheno, response, covariates, model).groupBy("snp_id", "_x", "_y", "_c").agg(F.count(F.lit(1)).cast("double").alias("times"))
+    return rows.groupBy("snp_id").applyInArrow(fit, TEST + ", converged boolean, low double, high double")
 
 
 def permutation_p(gt: DataFrame, pheno: DataFrame, response: str, times: int = 1000, seed: int = 1) -> DataFrame:
@@ -69,7 +85,7 @@ def permutation_p(gt: DataFrame, pheno: DataFrame, response: str, times: int = 1
         more = sum(abs(x @ rng.permutation(y)) >= seen * (1 - 1e-12) for _ in range(times))
         return pd.DataFrame({"snp_id": [t.snp_id.iloc[0]], "p": [(more + 1) / (times + 1)]})
 
-    return _cells(gt, pheno, response, []).groupBy("snp_id").applyInPandas(run, "snp_id long, p double")
+    return _cells(gt, pheno, response, []).drop("_c").groupBy("snp_id").applyInPandas(run, "snp_id long, p double")
 
 
 def _matrix(gt: DataFrame, order: list[int]) -> np.ndarray:

@@ -43,6 +43,20 @@ def test_logistic_with_covariates(spark):
     assert not mixed.logistic_fit(np.column_stack([np.ones(20), apart]), apart)[2]
 
 
+def test_logistic_counts_equal_rows_before_they_meet(spark):
+    d = dataset(spark, 80, 4)
+    pheno = d.phenotypes.selectExpr("sample_id", "int(trait > 0.3) as y", "double(sample_id % 2) as c1", "cov as c2")
+    for names in (["c1"], ["c1", "c2"]):
+        got = {r.snp_id: r for r in mixed.logistic(d.genotypes, pheno, "y", names).collect()}
+        people = {r.sample_id: r for r in pheno.collect()}
+        for j in range(3):
+            rows = [(r.dosage, people[r.sample_id]) for r in d.genotypes.where(f"snp_id = {j} and dosage is not null").collect()]
+            b, se, _ = mixed.logistic_fit(np.array([[1, *(p[c] for c in names), x] for x, p in rows], float), np.array([p.y for _, p in rows], float))
+            assert (got[j].n, got[j].effect, got[j].se) == (len(rows), pytest.approx(b[-1]), pytest.approx(se[-1]))
+    plan = mixed.logistic(d.genotypes, pheno, "y", ["c1"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" in plan and "Aggregate [snp_id" in plan
+
+
 def test_mixed_model_is_least_squares_without_kinship(spark):
     d = dataset(spark, 50, 6)
     full = d.genotypes.join(d.genotypes.where("dosage is null").select("snp_id").distinct(), "snp_id", "left_anti")
