@@ -32,6 +32,16 @@ def random_sets(variants: DataFrame, times: int, size: int) -> DataFrame:
     return grid.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("r", "snp_id"))).where(F.col("n") <= size).select("rep", "snp_id")
 
 
+def set_scores(gt: DataFrame, sets: DataFrame, reps: list[int]) -> DataFrame:
+    """rep, sample_id, score of called cells in each of `reps` sets (rep, snp_id, weight); sets as short as these are sent to all tasks.
+
+    A cell is shuffled once by its sample, not once for each set, and a sample has all its sums in one row until the end."""
+    by_variant = sets.groupBy("snp_id").agg(*[F.sum(F.when(F.col("rep") == r, F.col("weight"))).alias(f"w{r}") for r in reps])
+    cells = gt.where("dosage is not null").join(F.broadcast(by_variant), "snp_id").repartition("sample_id")
+    sums = cells.groupBy("sample_id").agg(*[F.sum(F.col("dosage").cast("double") * F.col(f"w{r}")).alias(f"s{r}") for r in reps])
+    return sums.select("sample_id", F.explode(F.array(*[F.struct(F.lit(r).alias("rep"), F.col(f"s{r}").alias("score")) for r in reps])).alias("x")).select("x.rep", "sample_id", "x.score").where("score is not null")
+
+
 def marker_sets(picks: DataFrame, mode: str, methods: int) -> DataFrame:
     """iteration, snp_id: variants with a non-zero beta in any method (union) or in all (intersect)."""
     g = picks.where("beta <> 0").groupBy("iteration", "snp_id").agg(F.countDistinct("method").alias("m"))

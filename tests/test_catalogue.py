@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociq.functions import stats
-from lociq.operators import evaluation, lookups, qc, ranking, recode, relatedness
+from lociq.operators import evaluation, lookups, qc, ranking, recode, relatedness, resampling
 from lociq.plans import pipeline
 from lociq.sources import plink
 from tests.test_library import dataset
@@ -89,6 +89,14 @@ def test_relatives_in_other_blocks(spark, monkeypatch):
     assert len(sizes) > 1
 
 
+def test_scores_of_sets_are_one_row_a_sample(spark):
+    d = dataset(spark, 30, 6)
+    sets = spark.createDataFrame([(1, 0, 0.5), (1, 3, -1.0), (2, 3, 2.0), (4, 77, 1.0)], "rep int, snp_id long, weight double")
+    df = resampling.set_scores(d.genotypes, sets, [1, 2, 4])
+    want = d.genotypes.where("dosage is not null").join(sets, "snp_id").groupBy("rep", "sample_id").agg(F.sum(F.col("dosage") * F.col("weight")).alias("score"))
+    assert {(r.rep, r.sample_id): pytest.approx(r.score) for r in want.collect()} == {(r.rep, r.sample_id): r.score for r in df.collect()}
+
+
 def test_tracy_widom_tail_at_published_quantiles():
     for x, p in ((0.9793, 0.05), (2.0234, 0.01), (0.4501, 0.1)):  # fixed values: upper quantiles of the law of order 1
         assert stats.tracy_widom_upper(x) == pytest.approx(p, rel=0.05)
